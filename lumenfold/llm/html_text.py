@@ -2,7 +2,7 @@
 
 The standard library's parser streams events. Text between two block tags is a line; its ratio is its characters over the
 tags met in it. Ratios are smoothed over neighbouring lines by a Gaussian, and lines above the threshold (the mean, less
-what ``LOOSE`` of the spread is) form clusters. The region that the clusters point to is the content: the articles or
+``LOOSE`` times the spread) form clusters. The region that the clusters point to is the content: the articles or
 ``main`` if a cluster lies in one, else the stretch from a page's first to last cluster. All lines of the region count, short ones too, but for those within menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments, which tags, roles, classes and ids tell.
 
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIGMA, LOOSE = 1.0, 0.5
+SIGMA, LOOSE = 1.0, 1.5
 
 #: Tags whose content is never main text.
 DROPPED = frozenset("head title script style noscript template nav header footer aside form menu dialog button select textarea option iframe object svg canvas audio video".split())

@@ -9,7 +9,7 @@ becomes ``\\l``, so no text holds a control string, and :func:`parse` gives back
 list of spans of formatted text that hold the texts of one role.
 
 Defined results: null text and role are empty; a reply whose parent is null or missing starts a tree of its own; replies
-of equal score rank by the smaller leaf; repeated (tree, node) ids are one reply, that of the least role and text;
+of equal score rank by the smaller leaf; replies of the null tree are a tree, replies without an id take no part; repeated (tree, node) ids are one reply, that of the least role and text;
 replies in a circle have no root, and a circle that never ends is an error; an empty table gives an empty table.
 """
 
@@ -90,6 +90,8 @@ def paths(replies: DataFrame, *, best: int | None = 1, most_doublings: int = 40)
 
 def conversations(replies: DataFrame, *, best: int | None = 1, learn: str = "assistant") -> DataFrame:
     """``tree, leaf, formatted, spans`` from ``tree, node, parent, score, role, text``."""
+    # a null tree is a tree, too: as text it can be a key of joins
+    replies = replies.withColumn("tree", F.coalesce(F.col("tree").cast("string"), F.lit("")))
     chosen = paths(replies.select("tree", "node", "parent", "score"), best=best)
     said = replies.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("said"))
     full = chosen.join(said, ["tree", "node"]).groupBy("tree", "leaf")
@@ -100,9 +102,10 @@ def conversations(replies: DataFrame, *, best: int | None = 1, learn: str = "ass
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
                 done = [format_turns([(t["role"], t["text"]) for t in turns], learn) for turns in part["turns"]]
-                yield pd.DataFrame({"tree": part["tree"].astype("Int64"), "leaf": part["leaf"], "formatted": [d[0] for d in done], "spans": [[list(s) for s in d[1]] for d in done]})
+                yield pd.DataFrame({"tree": part["tree"], "leaf": part["leaf"], "formatted": [d[0] for d in done], "spans": [[list(s) for s in d[1]] for d in done]})
 
-    return rows.mapInPandas(run, "tree long, leaf long, formatted string, spans array<array<int>>")
+    done = rows.mapInPandas(run, "tree string, leaf long, formatted string, spans array<array<int>>")
+    return done.withColumn("tree", F.expr("cast(nullif(tree, '') as long)"))
 
 
 def chain(turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn") -> DataFrame:

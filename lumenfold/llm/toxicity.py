@@ -2,7 +2,7 @@
 
 The kernel compares two strings by the triples of symbols that they share in order, gaps allowed: a triple that spans
 ``s`` places weighs ``DECAY ** s``, up to ``SPAN`` places. So ``idiot``, ``id-iot``, ``idxiot`` and ``i.d.i.o.t`` are near
-each other. Symbols are letters (accents folded), digits that stand for letters, and classes of other letters; anything
+each other. Symbols are a unit's start, letters (accents folded), digits that stand for letters, and classes of other letters; anything
 else only widens gaps. The kernel is normalised by the norm of the triples' weights.
 
 The machine works on units: words, with runs of single letters taken together; a longer unit is read in overlapping
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DECAY, SPAN, WINDOW, STEP = 0.6, 8, 20, 10
-SYMBOLS = 64
+SYMBOLS, START = 65, 64
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
 LANDMARKS = 192
 TOP = 3
@@ -49,8 +49,8 @@ _SINGLE = re.compile(r"(?:(?<=\s)|^)\w(?:\s+\w(?=\s|$)){2,}")
 
 
 def symbols(unit: str) -> list[int]:
-    """Codes of a unit's characters; 0 matches nothing."""
-    out = []
+    """Codes of a unit's start and its characters; 0 matches nothing."""
+    out = [START]
     for c in unit.translate(LEET):
         if "a" <= c <= "z":
             out.append(ord(c) - 96)
@@ -82,10 +82,10 @@ def windows(unit: str) -> list[str]:
 
 def _triples(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes and weights of all triples: rows are strings; absent triples have weight 0."""
-    length = max(map(len, strings))
+    length = max(map(len, strings)) + 1
     codes = np.zeros((len(strings), length), np.int32)
     for i, s in enumerate(strings):
-        codes[i, : len(s)] = symbols(s)
+        codes[i, : len(s) + 1] = symbols(s)
     steps = [(i, j, k) for i in range(length) for j in range(i + 1, min(length, i + SPAN - 1)) for k in range(j + 1, min(length, i + SPAN))]
     if not steps:
         return np.zeros((len(strings), 1), np.int32), np.zeros((len(strings), 1))
@@ -134,7 +134,7 @@ def _kernel(left: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 30.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 300.0) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by Newton steps on its active rows."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x1.shape[1])
@@ -184,21 +184,22 @@ def train(texts: list[str], toxic: list[int], *, seed: int = 7) -> dict:
         return {"table": None, "bias": 0.0, "curve": None}
     bags = [[units(x) for x in re.split(r"(?<=[.!?])\s+|\n", t) if x] for t in texts]  # by document, its sentences' units
     docs = [sorted(u for u in set().union(*b) if len(u) >= 3) for b in bags]
-    # near copies of a document are one witness: they mostly share the unit with the least checksum
-    family = [min((zlib.crc32(u.encode()) for u in us), default=-1) for us in docs]
+    # near copies of a document are one witness: they share the same rarest of the units that aren't theirs alone
+    in_docs = Counter(u for us in docs for u in us)
+    family = [min(((in_docs[u], zlib.crc32(u.encode())) for u in us if in_docs[u] > 1), default=(0, -d)) for d, us in enumerate(docs)]
     stems = [{u[:n] for u in us for n in (4, 5, 6, 99)} for us in docs]
-    count: dict[str, list[set[int]]] = {}
+    count: dict[str, list[set[tuple[int, int]]]] = {}
     for f, gs, label in zip(family, stems, y.tolist(), strict=True):
         for g in gs:
             count.setdefault(g, [set(), set()])[label].add(f)
-    # a stem tells toxic documents if it is in more of their families than chance gives to one of all stems
+    # a stem tells toxic documents if it is in more of their families than chance gives to any of all stems, and in at least a hundredth of them
     toxic_families = len({f for f, label in zip(family, y.tolist(), strict=True) if label})
     q = toxic_families / max(1, len(set(family)))
-    most = -math.log(len(count))
+    most = math.log(0.05 / len(count))
     sure = set()
     for g, (c, t) in count.items():
         n, k = len(c) + len(t), len(t)
-        if k >= 2 and k > 2 * q * n:
+        if k >= max(3, 0.01 * toxic_families) and k > 2 * q * n:
             chance = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(q) + (n - k) * math.log(1 - q)
             if chance < most and k >= 0.8 * n:
                 sure.add(g)
@@ -235,7 +236,7 @@ def train(texts: list[str], toxic: list[int], *, seed: int = 7) -> dict:
         values, vectors = np.linalg.eigh((own_kernel + own_kernel.T) / 2)
         keep = values > 1e-4 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])
-        w, bias = _svm(_kernel(strings, landmarks) @ root, labels, weight * len(labels))
+        w, bias = _svm(_kernel(strings, landmarks) @ root, labels, weight)
         alpha = root @ w
         # the decision as one weight per triple
         code, spread = _triples(landmarks)
