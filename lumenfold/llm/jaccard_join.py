@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +40,9 @@ from lumenfold.plans.tables import cut, parts
 #: Rows of a batch whose n-grams are sent together, and of a block of the product.
 BATCH, ROWS = 1024, 512
 #: N-grams that end a batch or a block before it has all its rows.
-BATCH_GRAMS = 2_000_000
+BATCH_GRAMS = 500_000
 #: N-grams that one column block counts.
-COLUMNS = 4_000_000
+COLUMNS = 1_000_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
@@ -51,7 +52,7 @@ class _Words(dict):
     """Hashes of words, each computed once."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -64,7 +65,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def ngrams(text: str | None, n: int, words: dict) -> np.ndarray:
-    """Sorted distinct hashes of a text's word n-grams, of 56 bits."""
+    """Sorted distinct hashes of a text's word n-grams, of 53 bits."""
     found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not found:
         return np.zeros(0, np.uint64)
@@ -75,7 +76,7 @@ def ngrams(text: str | None, n: int, words: dict) -> np.ndarray:
         out += h[i : len(h) - width + 1 + i] * np.uint64(_MULTIPLIERS[i % 8] + 2 * (i // 8))
         if i % 8 == 7:
             out = _mix(out)
-    return np.unique(_mix(out) >> np.uint64(8))
+    return np.unique(_mix(out) >> np.uint64(11))
 
 
 def digest(h: np.ndarray) -> int:
@@ -88,114 +89,109 @@ def need(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray |
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _packs(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """One row per batch of sets: up to BATCH of them, or fewer with BATCH_GRAMS n-grams."""
+def _shared_columns(docs: DataFrame, blocks: int, n: int, percent: int) -> DataFrame:
+    """Two kinds of rows. Of every batch of sets: their ``ids, nodes, sizes``. Of a set that may link: ``node, size, grams``,
+    its n-grams of two or more sets, those of the fewest sets first.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, ids, sets = _Words(), [], []
+    N-grams go out by column block under their batch's name, are counted, and what is shared comes back to the batch. Names of
+    sets take the same way, so a batch is computed once and need not be kept.
+    """
+
+    def out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, ids, sets, held = _Words(), [], [], 0
 
-        def pack() -> pd.DataFrame:
+        def send() -> pd.DataFrame:
+            name = uuid.uuid4().hex
             nodes = np.array([digest(s) for s in sets], "<i8")
             sizes = np.array([len(s) for s in sets], "<u4")
-            row = (uuid.uuid4().hex, list(ids), nodes.tobytes(), sizes.tobytes(), np.concatenate(sets).tobytes())
+            grams = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+            to = (grams % np.uint64(blocks)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            grams, owner, to = grams[order] // np.uint64(blocks), owner[order], to[order]
+            edges = np.searchsorted(to, np.arange(blocks + 1))
+            packed = grams.view(np.uint8).reshape(-1, 8)[:, :6]  # 53 bits over 32 or more blocks
+            rows = [(zlib.crc32(name.encode()) % blocks, name, list(ids), nodes.tobytes(), sizes.tobytes())]
+            for k in np.flatnonzero(np.diff(edges)):
+                a, z = edges[k], edges[k + 1]
+                rows.append((int(k), name, None, packed[a:z].tobytes(), np.bincount(owner[a:z], minlength=len(sets)).astype("<u2").tobytes()))
             ids.clear()
             sets.clear()
-            return pd.DataFrame([row], columns=["batch", "ids", "nodes", "sizes", "grams"])
+            return pd.DataFrame(rows, columns=["block", "batch", "ids", "a", "b"])
 
-        held = 0
         for b in batches:
             for key, t in zip(b["doc_id"].astype("object"), b["text"], strict=True):
                 ids.append(None if pd.isna(key) else int(key))
                 sets.append(ngrams(t, n, words))
                 held += len(sets[-1])
+                # counts of a document in a block are of 16 bits
                 if len(sets) >= BATCH or held >= BATCH_GRAMS:
-                    yield pack()
+                    yield send()
                     held = 0
         if sets:
-            yield pack()
+            yield send()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "batch string, ids array<bigint>, nodes binary, sizes binary, grams binary")
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        block = np.uint64(group["block"].iloc[0])
+        named = group["ids"].notna()
+        rows = [(r.batch, r.ids, r.a, r.b, None) for r in group[named].itertuples()]
+        group = group[~named]
+        blobs = [np.frombuffer(g, np.uint8).reshape(-1, 6) for g in group["a"]]
+        if blobs:
+            wide = np.zeros((sum(map(len, blobs)), 8), np.uint8)
+            np.concatenate(blobs, out=wide[:, :6])
+            grams = wide.reshape(-1).view("<u8") * np.uint64(blocks) + block
+            order = np.argsort(grams, kind="stable")
+            ordered = grams[order]
+            starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            runs = np.diff(np.append(starts, len(ordered)))
+            counts = np.empty(len(grams), np.uint32)
+            counts[order] = np.repeat(runs.astype(np.uint32), runs)
+            at = 0
+            for batch, p, per in zip(group["batch"], blobs, group["b"], strict=True):
+                hit = np.flatnonzero(counts[at : at + len(p)] > 1)
+                if len(hit):
+                    per = np.frombuffer(per, "<u2")
+                    owners = np.repeat(np.arange(len(per), dtype=np.uint16), per)
+                    rows.append((batch, None, grams[at + hit].tobytes(), owners[hit].tobytes(), counts[at + hit].tobytes()))
+                at += len(p)
+        return pd.DataFrame(rows, columns=["batch", "ids", "a", "b", "c"])
+
+    def gather(group: pd.DataFrame) -> pd.DataFrame:
+        named = group["ids"].notna()
+        head, rest = group[named].iloc[0], group[~named]
+        nodes, sizes = np.frombuffer(head["a"], "<i8"), np.frombuffer(head["b"], "<u4").astype("int64")
+        rows = [(None, None, None, head["ids"], head["a"], head["b"])]
+        if len(rest):
+            grams = np.concatenate([np.frombuffer(x, "<u8") for x in rest["a"]])
+            owners = np.concatenate([np.frombuffer(x, np.uint16) for x in rest["b"]])
+            counts = np.concatenate([np.frombuffer(x, "<u4") for x in rest["c"]])
+            may = (100 * np.bincount(owners, minlength=len(nodes)) >= percent * sizes) & (sizes > 0)
+            keep = may[owners]
+            grams, owners, counts = grams[keep], owners[keep], counts[keep]
+            order = np.lexsort((grams, counts, owners))
+            grams, owners = grams[order], owners[order]
+            edges = np.searchsorted(owners, np.arange(len(nodes) + 1))
+            rows += [(int(nodes[i]), int(sizes[i]), grams[edges[i] : edges[i + 1]].tobytes(), None, None, None) for i in np.flatnonzero(may)]
+        # a plain column of whole numbers and nulls would become one of floats
+        whole = {c: pd.array([r[i] for r in rows], "Int64") for i, c in enumerate(("node", "size"))}
+        return pd.DataFrame(whole | {c: pd.Series([r[i + 2] for r in rows], dtype="object") for i, c in enumerate(("grams", "ids", "nodes", "sizes"))})
+
+    rows = docs.mapInPandas(out, "block int, batch string, ids array<bigint>, a binary, b binary")
+    counted = rows.groupBy("block").applyInPandas(count, "batch string, ids array<bigint>, a binary, b binary, c binary")
+    return counted.groupBy("batch").applyInPandas(gather, "node long, size long, grams binary, ids array<bigint>, nodes binary, sizes binary")
 
 
-def _sets(packs: DataFrame) -> DataFrame:
-    """``doc_id, node, size`` of every row, without its n-grams."""
+def _sets(named: DataFrame) -> DataFrame:
+    """``doc_id, node, size`` of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for ids, nodes, sizes in zip(b["ids"], b["nodes"], b["sizes"], strict=True):
-                yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(i) else int(i) for i in ids], "Int64"), "node": np.frombuffer(nodes, "<i8"), "size": np.frombuffer(sizes, "<u4").astype("int64")})
-
-    return packs.select("ids", "nodes", "sizes").mapInPandas(run, "doc_id long, node long, size long")
-
-
-def _shared_columns(packs: DataFrame, blocks: int, percent: int) -> DataFrame:
-    """``node, size, grams, counts``: of sets that may link, the n-grams of two or more sets, and in how many these are.
+                key = pd.array([None if pd.isna(i) else int(i) for i in ids], "Int64")
+                yield pd.DataFrame({"doc_id": key, "node": np.frombuffer(nodes, "<i8"), "size": np.frombuffer(sizes, "<u4").astype("int64")})
 
-    N-grams go out by column block, under their batch's name, and what is shared comes back by batch.
-    """
-
-    def out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, sizes, blob in zip(b["batch"], b["sizes"], b["grams"], strict=True):
-                sizes, grams = np.frombuffer(sizes, "<u4"), np.frombuffer(blob, "<u8")
-                owner = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
-                to = (grams % np.uint64(blocks)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                edges = np.searchsorted(to[order], np.arange(blocks + 1))
-                grams, owner = grams[order], owner[order]
-                rows = []
-                for k in np.flatnonzero(np.diff(edges)):
-                    a, z = edges[k], edges[k + 1]
-                    packed = grams[a:z].view(np.uint8).reshape(-1, 8)[:, :7]  # 56 bits
-                    rows.append((int(k), name, packed.tobytes(), owner[a:z].tobytes()))
-                yield pd.DataFrame(rows, columns=["block", "batch", "grams", "owners"])
-
-    def unpack(blob: bytes) -> np.ndarray:
-        wide = np.zeros((len(blob) // 7, 8), np.uint8)
-        wide[:, :7] = np.frombuffer(blob, np.uint8).reshape(-1, 7)
-        return wide.reshape(-1).view("<u8")
-
-    def count(group: pd.DataFrame) -> pd.DataFrame:
-        parts_ = [unpack(g) for g in group["grams"]]
-        grams = np.concatenate(parts_)
-        order = np.argsort(grams, kind="stable")
-        ordered = grams[order]
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        runs = np.diff(np.append(starts, len(ordered)))
-        counts = np.empty(len(grams), np.uint32)
-        counts[order] = np.repeat(runs, runs).astype(np.uint32)
-        rows, at = [], 0
-        for batch, p, owners in zip(group["batch"], parts_, group["owners"], strict=True):
-            c = counts[at : at + len(p)]
-            at += len(p)
-            hit = c > 1
-            if hit.any():
-                rows.append((batch, p[hit].tobytes(), np.frombuffer(owners, np.uint16)[hit].tobytes(), c[hit].tobytes()))
-        return pd.DataFrame(rows, columns=["batch", "grams", "owners", "counts"])
-
-    def gather(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(left) and len(right):
-            nodes, sizes = np.frombuffer(left["nodes"].iloc[0], "<i8"), np.frombuffer(left["sizes"].iloc[0], "<u4")
-            grams = np.concatenate([np.frombuffer(x, "<u8") for x in right["grams"]])
-            owners = np.concatenate([np.frombuffer(x, np.uint16) for x in right["owners"]])
-            counts = np.concatenate([np.frombuffer(x, "<u4") for x in right["counts"]])
-            shared = np.bincount(owners, minlength=len(nodes))
-            may = 100 * shared >= percent * sizes.astype(np.int64)
-            order = np.lexsort((grams, counts, owners))
-            order = order[may[owners[order]]]
-            grams, counts, owners = grams[order], counts[order], owners[order]
-            edges = np.searchsorted(owners, np.arange(len(nodes) + 1))
-            for i in np.flatnonzero(may & (sizes > 0)):
-                a, z = edges[i], edges[i + 1]
-                rows.append((int(nodes[i]), int(sizes[i]), grams[a:z].tobytes(), counts[a:z].tobytes()))
-        return pd.DataFrame(rows, columns=["node", "size", "grams", "counts"])
-
-    spread = packs.select("batch", "sizes", "grams").mapInPandas(out, "block int, batch string, grams binary, owners binary")
-    counted = spread.groupBy("block").applyInPandas(count, "batch string, grams binary, owners binary, counts binary")
-    named = packs.select("batch", "nodes", "sizes")
-    return named.groupBy("batch").cogroup(counted.groupBy("batch")).applyInPandas(gather, "node long, size long, grams binary, counts binary")
+    return named.filter("ids IS NOT NULL").select("ids", "nodes", "sizes").mapInPandas(run, "doc_id long, node long, size long")
 
 
 def _chains(rows: DataFrame, percent: int, blocks: int) -> DataFrame:
@@ -324,14 +320,14 @@ def _links(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 def link(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id`` of every row; ``class_id`` is that of rows with an equal set."""
     spark = docs.sparkSession
-    packs = cut(_packs(docs, doc_id, text, n), "packs")
-    sets = cut(_sets(packs), "sets")
-    total = sets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    blocks = parts(spark, total, COLUMNS)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # a word has some five characters; fewer than 32 blocks don't fit the width of what is sent
+    blocks = max(32, parts(spark, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5, COLUMNS))
+    both = cut(_shared_columns(rows, blocks, n, percent), "shared")
+    sets = cut(_sets(both), "sets")
     classes = sets.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    rows = _shared_columns(packs, blocks, percent)
     # equal sets have equal columns and counts: one row stays
-    rows = cut(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("grams").alias("grams")), "rows")
+    rows = cut(both.filter("node IS NOT NULL").select("node", "size", "grams").groupBy("node").agg(F.first("size").alias("size"), F.first("grams").alias("grams")), "rows")
     groups = components(_chains(rows, percent, blocks))
     linked = components(_links(rows, groups, percent))
     named = cut(classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")

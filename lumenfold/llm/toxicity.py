@@ -40,7 +40,7 @@ SYMBOLS, START = 65, 64
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
 LANDMARKS = 192
 TOP = 3
-CACHE = 1_000_000
+CACHE = 200_000
 
 #: Digits that stand for letters.
 LEET = str.maketrans("013457", "oieast")

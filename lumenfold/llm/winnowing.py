@@ -4,11 +4,14 @@ Every ``K`` code points in a row are hashed; of every ``W`` hashes in a row the
 what is chosen, each place once, is the fingerprint. Two texts that share ``K + W - 1`` code points in a row share a
 chosen hash. Texts of fewer than ``K`` code points are one gram; an empty text has no fingerprint.
 
-The minimum of a window comes by doubling: minima of 2, 4, 8, 16 places, each from the array before and itself moved. A
+The minimum of a window comes by doubling: minima of 2, 4, 8, 16, 32 places, each from the array before and itself moved. A
 hash and its place are one number, ``hash * 2^32 + (2^32 - 1 - place)``, so the least is the rightmost of equal hashes.
 A text goes through in segments of ``SEGMENT`` windows, so that a very long one needs no more memory than its text and
 its fingerprint.
 
+The edited text of :func:`edited` is a document's first half and the start of another. Windows within either part have been
+minimised before; only those at the seam and at the end are taken from the edited text itself.
+
 Defined results: null text is empty; two empty fingerprints are alike by 1, an empty and another by 0; repeated rows have
 each their row, and follow each other in the order of their texts' hashes; null ids come after all others; an empty table
 gives an empty table.
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.plans.tables import cut, small
 
-K, W, SEGMENT = 8, 16, 4096
+K, W, SEGMENT = 8, 32, 4096
 LOW = 4294967295
 
 
@@ -47,9 +50,9 @@ def hashes(picked: str) -> Column:
     return F.expr(f"transform({picked}, x -> cast(shiftright(x, 32) as int))")
 
 
-def gaps(picked: str) -> Column:
-    """What each place is after the one before it; running sums give the places back, from 1."""
-    return F.expr(f"zip_with({picked}, concat(array({LOW}L), slice({picked}, 1, greatest(size({picked}) - 1, 0))), (x, y) -> cast((y & {LOW}) - (x & {LOW}) as smallint))")
+def places(picked: str) -> Column:
+    """The chosen places, from 1."""
+    return F.expr(f"transform({picked}, x -> {LOW}L - (x & {LOW}L))")
 
 
 def printed(ints: str) -> Column:
@@ -63,14 +66,13 @@ def alike(a: str, b: str) -> Column:
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
-    """``doc_id, text, fp`` (hashes as ints) and ``gaps`` of their places."""
+    """``doc_id, text, picked``."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *keep)
-    rows = rows.withColumn("picked", chosen("text"))
-    return rows.select("doc_id", "text", hashes("picked").alias("fp"), gaps("picked").alias("gaps"), *keep)
+    return rows.select("doc_id", "text", chosen("text").alias("picked"), *keep)
 
 
 def neighbours(docs: DataFrame, *, per_bucket: int = 20_000) -> DataFrame:
-    """``doc_id, text, fp, gaps, next_text, next_fp``: the next row is that of the next smaller id, after the last the first.
+    """``doc_id, text, picked, next_text, next_picked``: the next row is that of the next smaller id, after the last the first.
 
     Rows are dealt out by ranges of ids, whose bounds come from all ids. The first row of every bucket is repeated, as a
     mark, at the end of the bucket above it, so no window spans more than a bucket.
@@ -98,24 +100,49 @@ def neighbours(docs: DataFrame, *, per_bucket: int = 20_000) -> DataFrame:
 
     rows = fingerprints(docs).withColumn("bucket", bucket).withColumn("mark", F.lit(0)).unionByName(marks)
     w = Window.partitionBy("bucket").orderBy("mark", F.col("doc_id").desc_nulls_last(), tie)
-    held = rows.withColumn("next", F.lead(F.struct("text", "fp")).over(w)).filter("mark = 0")
-    return held.select("doc_id", "text", "fp", "gaps", F.col("next.text").alias("next_text"), F.col("next.fp").alias("next_fp"))
+    held = rows.withColumn("next", F.lead(F.struct("text", "picked")).over(w)).filter("mark = 0")
+    return held.select("doc_id", "text", "picked", F.col("next.text").alias("next_text"), F.col("next.picked").alias("next_picked"))
 
 
 def edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text and of the next document, and how alike they are."""
-    rows = neighbours(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half)))
-    rows = rows.withColumn("edited_picked", chosen("edited"))
-    rows = rows.withColumn("edited_fp", hashes("edited_picked"))
+    rows = neighbours(docs).withColumn("n", F.char_length("text"))
+    rows = rows.withColumn("a", F.expr("n - n div 2").cast("int"))
+    rows = rows.withColumn("edited", F.expr("concat(substring(text, 1, a), substring(next_text, 1, cast(n - a as int)))"))
+    # the last windows that lie within the first part, and within the second
+    rows = rows.withColumn("p", F.col("a") - (K + W - 2)).withColumn("e", F.char_length("edited")).withColumn("q", F.col("e") - F.col("a") - (K + W - 2))
+    rows = rows.withColumn("s", F.expr(f"greatest(1, p - {W - 2})")).withColumn("t", F.expr(f"a + greatest(1, q - {W - 2})"))
+    whole = F.col("e") < 4 * (K + W)
+    rows = rows.withColumns(
+        {
+            "seam": F.when(whole, F.col("edited")).otherwise(F.expr(f"substring(edited, s, a + {W + K - 1} - s)")),
+            "tail": F.when(whole | (F.col("q") < 1), F.lit("")).otherwise(F.expr("substring(edited, t, e)")),
+            "seam_at": F.when(whole, F.lit(0)).otherwise(F.col("s") - 1),
+        }
+    )
+    # places come first in these numbers, so that sorting them is sorting by place
+    flip = lambda col, by: f"transform({col}, x -> shiftleft({LOW}L - (x & {LOW}L) + {by}, 32) | (shiftright(x, 32) & {LOW}L))"
+    rows = rows.withColumns({"seam_picked": chosen("seam"), "tail_picked": chosen("tail")})
+    own = f"case when e < {4 * (K + W)} then cast(array() as array<bigint>) else filter({flip('picked', '0')}, x -> shiftright(x, 32) <= p) end"
+    other = f"case when e < {4 * (K + W)} then cast(array() as array<bigint>) else filter({flip('next_picked', 'a')}, x -> shiftright(x, 32) <= a + q) end"
+    both = f"sort_array(array_distinct(concat({own}, {flip('seam_picked', 'seam_at')}, {other}, {flip('tail_picked', '(t - 1)')})))"
+    rows = rows.select("doc_id", "n", "edited", "picked", "next_picked", F.expr(both).alias("by_place"))
+    rows = rows.select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        hashes("picked").alias("fp"),
+        F.expr("transform(by_place, x -> cast(shiftright(shiftleft(x, 32), 32) as int))").alias("edited_fp"),
+        hashes("next_picked").alias("next_fp"),
+        places("picked").alias("fingerprint_places"),
+    )
     return rows.select(
         "doc_id",
         "n_chars",
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "edited_sha256",
         printed("fp").alias("fingerprint"),
         printed("edited_fp").alias("edited_fingerprint"),
         alike("fp", "edited_fp").alias("near_edited"),
         alike("fp", "next_fp").alias("near_next"),
-        F.col("gaps").alias("fingerprint_gaps"),
+        "fingerprint_places",
     )

@@ -283,7 +283,8 @@ def test_winnowing(spark, data, table):
         row = rows.loc[key]
         assert row["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and row["n_chars"] == len(text)
         assert row["fingerprint"] == " ".join(f"{h & 0xFFFFFFFF:X}".lower() for h, _ in fp[i])
-        assert list(np.cumsum(row["fingerprint_gaps"])) == [p for _, p in fp[i]]
+        assert list(row["fingerprint_places"]) == [p for _, p in fp[i]]
+        assert row["edited_fingerprint"] == " ".join(f"{h & 0xFFFFFFFF:X}".lower() for h, _ in brute_winnow(edited))
         hs = {h for h, _ in fp[i]}
         assert np.isclose(row["near_edited"], jac(hs, {h for h, _ in brute_winnow(edited)}))
         assert np.isclose(row["near_next"], jac(hs, {h for h, _ in fp[j]}))
