@@ -4,7 +4,7 @@ Every ``K`` code points in a row are hashed; of every ``W`` hashes in a row the
 what is chosen, each place once, is the fingerprint. Two texts that share ``K + W - 1`` code points in a row share a
 chosen hash. Texts of fewer than ``K`` code points are one gram; an empty text has no fingerprint.
 
-The minimum of a window comes by doubling: minima of 2, 4, 8, 16, 32 places, each from the array before and itself moved. A
+The minimum of a window comes by doubling: minima of 2, 4, 8 ... places, each from the array before and itself moved. A
 hash and its place are one number, ``hash * 2^32 + (2^32 - 1 - place)``, so the least is the rightmost of equal hashes.
 A text goes through in segments of ``SEGMENT`` windows, so that a very long one needs no more memory than its text and
 its fingerprint.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.plans.tables import cut, small
 
-K, W, SEGMENT = 8, 32, 4096
+K, W, SEGMENT = 8, 64, 4096
 LOW = 4294967295
 
 
