@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import unicodedata
 import zlib
 from collections import Counter
@@ -182,27 +183,37 @@ def train(texts: list[str], toxic: list[int], *, seed: int = 7) -> dict:
     y = np.array(toxic)
     if not (y == 1).any() or not (y == 0).any():
         return {"table": None, "bias": 0.0, "curve": None}
-    bags = [[units(x) for x in re.split(r"(?<=[.!?])\s+|\n", t) if x] for t in texts]  # by document, its sentences' units
-    docs = [sorted(u for u in set().union(*b) if len(u) >= 3) for b in bags]
+    docs = []  # the units of a document's sentences, at least 3 characters long; equal strings are kept once
+    for t in texts:
+        found = set().union(*(units(x) for x in re.split(r"(?<=[.!?])\s+|\n", t) if x))
+        docs.append(sorted(sys.intern(u) for u in found if len(u) >= 3))
     # near copies of a document are one witness: they share the same rarest of the units that aren't theirs alone
     in_docs = Counter(u for us in docs for u in us)
-    family = [min(((in_docs[u], zlib.crc32(u.encode())) for u in us if in_docs[u] > 1), default=(0, -d)) for d, us in enumerate(docs)]
-    stems = [{u[:n] for u in us for n in (4, 5, 6, 99)} for us in docs]
-    count: dict[str, list[set[tuple[int, int]]]] = {}
-    for f, gs, label in zip(family, stems, y.tolist(), strict=True):
-        for g in gs:
-            count.setdefault(g, [set(), set()])[label].add(f)
-    # a stem tells toxic documents if it is in more of their families than chance gives to any of all stems, and in at least a hundredth of them
-    toxic_families = len({f for f, label in zip(family, y.tolist(), strict=True) if label})
-    q = toxic_families / max(1, len(set(family)))
-    most = math.log(0.05 / len(count))
+    families: dict[tuple[int, int], list[int]] = {}
+    for d, us in enumerate(docs):
+        families.setdefault(min(((in_docs[u], zlib.crc32(u.encode())) for u in us if in_docs[u] > 1), default=(0, -d)), []).append(d)
+    stems = lambda us: {u[:n] for u in us for n in (4, 5, 6, 99)}
+    # a stem tells toxic documents if it is in more of their families than chance gives any of all stems, and in at least
+    # a hundredth of them
+    count: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+    toxic_families = 0
+    for label in (1, 0):
+        for members in families.values():
+            own = [d for d in members if y[d] == label]
+            if own:
+                found = set().union(*(stems(docs[d]) for d in own))
+                count[label].update(found if label else (g for g in found if g in count[1]))
+                toxic_families += label
+    q = toxic_families / max(1, len(families))
+    most = math.log(0.05 / max(1, len(count[1])))
     sure = set()
-    for g, (c, t) in count.items():
-        n, k = len(c) + len(t), len(t)
+    for g, k in count[1].items():
+        n = k + count[0][g]
         if k >= max(3, 0.01 * toxic_families) and k > 2 * q * n:
-            chance = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(q) + (n - k) * math.log(1 - q)
+            chance = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(q) + (n - k) * math.log(max(1e-300, 1 - q))
             if chance < most and k >= 0.8 * n:
                 sure.add(g)
+    del count, in_docs, families
     telling = lambda u: any(u[:n] in sure for n in (4, 5, 6, 99))
     in_clean = Counter(u for us, label in zip(docs, y.tolist(), strict=True) if not label for u in us)
     names = sorted(in_clean, key=lambda u: (-in_clean[u], u))
@@ -254,7 +265,9 @@ def train(texts: list[str], toxic: list[int], *, seed: int = 7) -> dict:
             pool = pool + [u for _, u in hard[:2000]]
     if model is None:
         return {"table": None, "bias": 0.0, "curve": None}
-    model["curve"] = _logistic(_doc_features(best_units(texts, model["table"], model["bias"], {})), y)
+    cache: dict[str, float] = {}
+    best = [best_units(texts[i : i + 256], model["table"], model["bias"], cache) for i in range(0, len(texts), 256)]
+    model["curve"] = _logistic(_doc_features(np.concatenate(best)), y)
     model["table"] = model["table"].astype(np.float32)
     return model
 
