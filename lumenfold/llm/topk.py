@@ -187,9 +187,9 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: float = 6
         empty = pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0, "int64")})
         if not len(left) or not len(right):
             return empty
-        q_ids = left["vec_id"].to_numpy("int64")
-        top, ids = dual_search(_stack(left["v"].tolist()), q_ids, left["least"].to_numpy("float64"), _stack(right["v"].tolist()), right["vec_id"].to_numpy("int64"), k)
-        kept = np.isfinite(top)
+        q_ids, least = left["vec_id"].to_numpy("int64"), left["least"].to_numpy("float64")
+        top, ids = dual_search(_stack(left["v"].tolist()), q_ids, least, _stack(right["v"].tolist()), right["vec_id"].to_numpy("int64"), k)
+        kept = np.isfinite(top) & (top >= least[:, None])  # what is below the bound isn't among the k best
         at = np.nonzero(kept)[0]
         return pd.DataFrame({"query_id": q_ids[at], "vec_id": ids[kept], "score": top[kept].astype("int64")})
 
