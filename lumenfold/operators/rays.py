@@ -96,7 +96,9 @@ def render(df: DataFrame, camera: Camera, *, dome: bool = False, overlap: bool =
             part = np.exp(-(1 - cos) * (1 + cos) / (r * r * H2SIGMA * H2SIGMA))
             small = r <= 1
             hit = (cos >= 0) & (cos * cos >= (1 - r) * (1 + r))
-            weight = np.where(small, np.where(hit, part, 0.0), 0.5 * erfc(-cos / (r * H2SIGMA)) * part if overlap else 0.0)
+            weight = np.where(hit & small, part, 0.0)
+            if overlap and not small.all():
+                weight[:, ~small] = 0.5 * erfc(-cos[:, ~small] / (r[~small] * H2SIGMA)) * part[:, ~small]
             total += weight @ g[["red", "green", "blue"]].to_numpy()
         return pd.DataFrame({"x": x.astype("int32"), "y": y.astype("int32"), "red": total[:, 0], "green": total[:, 1], "blue": total[:, 2]})
 
