@@ -18,8 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose whole text scores 0.5 or more go."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = docs.select(*COLUMNS).withColumn("_all", F.struct(*COLUMNS))
-    return toxicity.score(kept, model, keep=["_all"]).filter("score < 0.5").select("_all.*")
+    return toxicity.score(docs.select(*COLUMNS), model, keep=COLUMNS[1:]).filter("score < 0.5").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
