@@ -47,3 +47,9 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def parts(spark: SparkSession, rows: int, per_part: int) -> int:
     """Partitions for ``rows`` of about ``per_part`` each, at least as many as the session shuffles into."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / per_part), 1)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, where a scan of few row groups has fewer; a large scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

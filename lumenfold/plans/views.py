@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenfold.plans.tables import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -12,7 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem``: quantity, discount and tax are places; the four keys make the id."""
-    li = table(spark, sf_dir, "lineitem")
+    keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    li = spread(table(spark, sf_dir, "lineitem").select(*keys, "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_returnflag"))
     pid = ((F.col("l_orderkey") * 262144 + F.col("l_partkey")) * 16384 + F.col("l_suppkey")) * 8 + F.col("l_linenumber")
     return li.select(
         pid.alias("pid"),
