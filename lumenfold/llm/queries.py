@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import html_text, jaccard_join, mixing, packing, reply_tree, secret_scan, topk, toxicity, url_reputation, winnowing
+from lumenfold.plans.tables import spread
 
 CONVERSATION = (-7, "\\### Assistant: </turn> ok")
 
@@ -15,7 +16,7 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer() -> dict[str, str]:
