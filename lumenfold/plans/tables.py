@@ -50,6 +50,13 @@ def parts(spark: SparkSession, rows: int, per_part: int) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as there are cores, where a scan of few row groups has fewer; a large scan stays as it is."""
+    """``df`` in as many partitions as there are cores, where its scan has rows for fewer tasks; other scans stay as they are.
+
+    Only a table of fewer files than cores is looked at, and of that only how many rows each task gets, which Parquet
+    footers tell.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if len(df.inputFiles()) >= cores:
+        return df
+    busy = df.select(F.spark_partition_id().alias("part")).distinct().count()
+    return df.repartition(cores) if busy < cores else df
