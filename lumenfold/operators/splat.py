@@ -56,20 +56,32 @@ def additive(df: DataFrame, split_wide: bool = False) -> DataFrame:
     return rows.groupBy(F.col("px").alias("x"), F.col("py").alias("y")).agg(*[F.sum(F.col("att") * F.col(c)).alias(c) for c in ("red", "green", "blue")])
 
 
-def absorbing(df: DataFrame, gray: float = 0.2, nearest_first: list[Column] | None = None) -> DataFrame:
+def absorbing(df: DataFrame, gray: float = 0.2, nearest_first: list[Column] | None = None, layer: str | None = None) -> DataFrame:
     """Colours of every pixel, discs drawn one over the other, the farthest first.
 
     Drawing a disc is ``p -> p T + q (1 - T)`` with ``T = exp(-e att)`` and ``q = e / (e + gray)``, so a disc counts by what
     is drawn after it. Running sums go from near to far: a frame that only grows is summed once.
+
+    With the column ``layer`` every layer is an image of its own, with its optical depths ``t_red, t_green, t_blue``, as
+    :func:`composited` takes them.
     """
     order = nearest_first or [F.desc("z"), F.desc("pid")]
-    rows = covered(df, ["z", "pid", "red", "green", "blue"])
-    front = Window.partitionBy("px", "py").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    by = [layer] if layer else []
+    rows = covered(df, ["z", "pid", "red", "green", "blue", *by])
+    front = Window.partitionBy("px", "py", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     tau = {c: F.col(c) * F.col("att") for c in ("red", "green", "blue")}
-    rows = rows.select("px", "py", "z", "pid", *[t.alias(f"t_{c}") for c, t in tau.items()], *[(F.col(c) / (F.col(c) + gray)).alias(f"q_{c}") for c in tau])
-    rows = rows.select("px", "py", *[f"t_{c}" for c in tau], *[f"q_{c}" for c in tau], *[F.coalesce(F.sum(f"t_{c}").over(front), F.lit(0.0)).alias(f"f_{c}") for c in tau])
+    rows = rows.select("px", "py", "z", "pid", *by, *[t.alias(f"t_{c}") for c, t in tau.items()], *[(F.col(c) / (F.col(c) + gray)).alias(f"q_{c}") for c in tau])
+    rows = rows.select("px", "py", *by, *[f"t_{c}" for c in tau], *[f"q_{c}" for c in tau], *[F.coalesce(F.sum(f"t_{c}").over(front), F.lit(0.0)).alias(f"f_{c}") for c in tau])
     add = lambda c: F.sum(-F.col(f"q_{c}") * F.expm1(-F.col(f"t_{c}")) * F.exp(-F.col(f"f_{c}"))).alias(c)
-    return rows.groupBy(F.col("px").alias("x"), F.col("py").alias("y")).agg(*map(add, tau))
+    depth = [F.sum(f"t_{c}").alias(f"t_{c}") for c in tau] if layer else []
+    return rows.groupBy(F.col("px").alias("x"), F.col("py").alias("y"), *by).agg(*map(add, tau), *depth)
+
+
+def composited(layers: DataFrame, layer: str = "layer") -> DataFrame:
+    """One image of layers, 0 the nearest: what lies behind is dimmed by the optical depths before it, which add up."""
+    front = Window.partitionBy("x", "y").orderBy(layer).rowsBetween(Window.unboundedPreceding, -1)
+    dim = layers.select("x", "y", *COLOURS, *[f"t_{c}" for c in COLOURS], *[F.coalesce(F.sum(f"t_{c}").over(front), F.lit(0.0)).alias(f"f_{c}") for c in COLOURS])
+    return dim.groupBy("x", "y").agg(*[F.sum(F.col(c) * F.exp(-F.col(f"f_{c}"))).alias(c) for c in COLOURS], *[F.sum(f"t_{c}").alias(f"t_{c}") for c in COLOURS])
 
 
 COLOURS = ("red", "green", "blue")

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions import geometry, scalar
+from lumenfold.functions import vectors as vec
 from lumenfold.functions.geometry import Camera
 from lumenfold.operators import camera as cam
-from lumenfold.operators import filters, interpolate, lod, palette, ranges, rays, session, splat
+from lumenfold.operators import filters, interpolate, lod, palette, ranges, rays, selection, session, splat
 from lumenfold.plans.views import commands, particles, snapshot, table, vectors
-from lumenfold.sources import snapshots
+from lumenfold.sources import records, snapshots
 from lumenfold.streaming import commands as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,6 +163,41 @@ def scalar_functions(spark, d):
     return fixed(o.select(k.alias("k"), scalar.sign(v - 100000).alias("sign"), scalar.nearest(v / 7).alias("nearest"), scalar.isqrt(k).alias("isqrt"), scalar.ilog2(k).alias("ilog2"), scalar.trailing_zeros(k).alias("zeros"), scalar.approx(v, v * 1.000001).alias("close"), F.pmod(v - 1e5, F.lit(360.0)).alias("modulo")))
 
 
+_A, _B = (tuple(f"embedding[{k}]::DOUBLE" for k in ks) for ks in ((1, 2, 3), (4, 5, 6)))
+_DOT = " + ".join(f"{a} * {b}" for a, b in zip(_A, _B, strict=True))
+_CROSS = tuple(f"({_A[i]} * {_B[j]} - {_A[j]} * {_B[i]})" for i, j in ((1, 2), (2, 0), (0, 1)))
+
+
+@query(
+    "WITH v AS (SELECT vec_id AS pid, " + ", ".join(f"{e} AS {n}" for e, n in zip((*_A, *_B), ("ax", "ay", "az", "px", "py", "pz"), strict=True)) + f", {_DOT} AS dot, sqrt({' + '.join(f'{c} * {c}' for c in _CROSS)}) AS area FROM embeddings), "
+    "n AS (SELECT *, -ay AS ex, ax AS ey, ay * 0 - az * ax AS nx, az * -ay - ax * 0 AS ny, ax * ax + ay * ay AS nz FROM v) "
+    f"SELECT pid, {r6('dot', 'dot')}, {r6('area', 'area')}, {r6('atan2(area, dot)', 'angle')}, {r6('atan2(-(px * ex + py * ey), px * nx + py * ny + pz * nz)', 'orientation')}, "
+    f"{r6('sin(ax) * sin(px) + cos(ay - py) * sqrt((1 - sin(ax) * sin(ax)) * (1 - sin(px) * sin(px)))', 'cosine')} FROM n WHERE ax <> 0 OR ay <> 0"
+)
+def vector_functions(spark, d):
+    e = [F.col("embedding")[k].cast("double") for k in range(6)]
+    a, b = tuple(e[:3]), tuple(e[3:])
+    v = table(spark, d, "embeddings").filter((e[0] != 0) | (e[1] != 0))
+    cosine = vec.cosine_between(F.sin(a[0]), a[1], F.sin(b[0]), b[1])
+    return fixed(v.select(F.col("vec_id").alias("pid"), vec.dot(a, b).alias("dot"), vec.length(vec.cross(a, b)).alias("area"), vec.angle(a, b).alias("angle"), vec.orientation(a, b).alias("orientation"), cosine.alias("cosine")))
+
+
+@query("""SELECT p_partkey AS k, trim(p_name) AS trimmed, upper(p_brand) = p_brand OR lower(p_brand) = lower(upper(p_brand)) AS same, len(list_filter(string_split(p_type, ' '), lambda x: x <> ''))::INT AS n_words,
+array_to_string(list_filter(string_split(p_brand, '#'), lambda x: x <> ''), '|') AS parts, CASE WHEN length(p_size::VARCHAR) >= 4 THEN p_size::VARCHAR ELSE lpad(p_size::VARCHAR, 4, '0') END AS padded FROM part""")
+def string_functions(spark, d):
+    brand = F.col("p_brand")
+    parts = F.array_join(vec.tokens(brand, "#"), "|")
+    return table(spark, d, "part").select(
+        F.col("p_partkey").alias("k"), vec.trimmed(F.col("p_name")).alias("trimmed"), vec.equal_nocase(brand, F.upper(brand)).alias("same"),
+        F.size(vec.words(F.col("p_type"))).alias("n_words"), parts.alias("parts"), vec.zero_padded(F.col("p_size"), 4).alias("padded"),
+    )
+
+
+@query("SELECT c_custkey AS pid, 0 AS type, c_custkey::DOUBLE AS x, c_nationkey::DOUBLE AS y, 0.0::DOUBLE AS z, 2.0::DOUBLE AS r, c_acctbal AS i, 1.0::DOUBLE AS c1, 0.0::DOUBLE AS c2, 0.0::DOUBLE AS c3 FROM customer")
+def named_columns(spark, d):
+    return records.bound(table(spark, d, "customer"), {"pid": "c_custkey", "x": "c_custkey", "y": "c_nationkey", "i": "c_acctbal"}, size=2.0)
+
+
 # ---- predicates
 @query(f"WITH {P} SELECT pid, CASE species WHEN 'R' THEN 0 ELSE 1 END AS type FROM p WHERE species IN ('R', 'A')")
 def species_select(spark, d):
@@ -317,6 +353,14 @@ def splat_a_neq_e(spark, d):
     return fixed(splat.absorbing(coloured(spark, d)))
 
 
+@query(_all["splat_a_neq_e"][1])
+def depth_composite(spark, d):
+    """Three layers of depth, drawn apart and put together, are the image drawn at once."""
+    z = F.col("z")
+    layered = coloured(spark, d).withColumn("layer", F.when(z >= -50, 0).when(z >= -65, 1).otherwise(2))
+    return fixed(splat.composited(splat.absorbing(layered, layer="layer")).select("x", "y", *RGB))
+
+
 @query(f"{TONED} SELECT x, y, " + ", ".join(r6(c, c) for c in RGB) + " FROM tone")
 def tone_map(spark, d):
     return fixed(splat.tone_mapped(image(spark, d)))
@@ -480,6 +524,28 @@ _sorted("value_rev", "e, pid", lambda: ["e", "pid"])
 _sorted("size", "r DESC, pid", lambda: [F.desc("r"), "pid"])
 
 
+@query(f"WITH {P} SELECT {r6('e', 'value')} FROM p ORDER BY e LIMIT 1 OFFSET 2345")
+def nth_element(spark, d):
+    value = selection.nth_smallest(particles(spark, d), "e", 2345)
+    return fixed(spark.createDataFrame([(value,)], "value double"))
+
+
+@query(f"""WITH {P}, b AS (SELECT count(*) AS n, max(x) - min(x) AS dx, max(y) - min(y) AS dy, max(z) - min(z) AS dz FROM p),
+a AS (SELECT n, CASE WHEN dx >= dy AND dx >= dz THEN 'x' WHEN dy >= dz THEN 'y' ELSE 'z' END AS axis FROM b),
+v AS (SELECT axis, n, CASE axis WHEN 'x' THEN x WHEN 'y' THEN y ELSE z END AS v FROM p, a), r AS (SELECT *, row_number() OVER (ORDER BY v) - 1 AS nth FROM v),
+m AS (SELECT axis, v AS middle FROM r WHERE nth = n // 2)
+SELECT m.axis, {r6('middle', 'middle')}, count(*) FILTER (v < middle) AS low, count(*) FILTER (v >= middle) AS high FROM v, m GROUP BY m.axis, middle""")
+def longest_axis_split(spark, d):
+    axis, pivot, low, high = selection.halves(particles(spark, d))
+    return fixed(spark.createDataFrame([(axis, pivot, low.count(), high.count())], "axis string, middle double, low long, high long"))
+
+
+@query("SELECT o_orderkey AS k, o_orderkey % 10007 AS item, (CASE WHEN o_orderkey % 10007 < 5720 THEN (o_orderkey % 10007) // 1430 ELSE (o_orderkey % 10007 - 5720) // 1429 + 4 END)::INT AS share FROM orders")
+def share_of_items(spark, d):
+    item = F.col("o_orderkey") % 10007
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), item.alias("item"), selection.share_of(item, 10007, 7).alias("share"))
+
+
 @query(f"WITH {P} SELECT type, {r6('quantile_cont(e, 0.5)', 'median')} FROM p GROUP BY type")
 def median_split(spark, d):
     return fixed(particles(spark, d).groupBy("type").agg(F.median("e").alias("median")))
