@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.plans.tables import cut, small
 
-K, W, SEGMENT = 8, 64, 4096
+K, W, SEGMENT = 8, 16, 4096
 LOW = 4294967295
 
 
@@ -96,10 +96,14 @@ def neighbours(docs: DataFrame, *, per_bucket: int = 20_000) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("bucket").orderBy(tie))
     firsts = cut(firsts.withColumn("nth", nth).filter("nth = 1").select("doc_id", "text", "bucket"), "bucket-firsts")
     to = F.create_map(*[F.lit(x) for kv in above.items() for x in kv])[F.col("bucket")] if above else F.col("bucket")
-    marks = fingerprints(firsts, keep=["bucket"]).withColumn("bucket", to).withColumn("mark", F.lit(1))
-
-    rows = fingerprints(docs).withColumn("bucket", bucket).withColumn("mark", F.lit(0)).unionByName(marks)
-    w = Window.partitionBy("bucket").orderBy("mark", F.col("doc_id").desc_nulls_last(), tie)
+    marks = firsts.select("doc_id", "text", to.alias("bucket"), F.lit(1).alias("mark"))
+
+    # only texts are dealt out; what is chosen of them comes after, so no hash is written to disk
+    order = ["mark", F.col("doc_id").desc_nulls_last(), "tie"]
+    rows = texts.withColumn("bucket", bucket).withColumn("mark", F.lit(0)).unionByName(marks).withColumn("tie", tie)
+    rows = rows.repartitionById(len(bounds) + 2, F.col("bucket").cast("int")).sortWithinPartitions("bucket", *order)
+    rows = fingerprints(rows, keep=["bucket", "mark", "tie"])
+    w = Window.partitionBy("bucket").orderBy(*order)
     held = rows.withColumn("next", F.lead(F.struct("text", "picked")).over(w)).filter("mark = 0")
     return held.select("doc_id", "text", "picked", F.col("next.text").alias("next_text"), F.col("next.picked").alias("next_picked"))
 

@@ -290,6 +290,21 @@ def test_winnowing(spark, data, table):
         assert np.isclose(row["near_next"], jac(hs, {h for h, _ in fp[j]}))
 
 
+def test_winnowing_finds_short_shared_runs(spark):
+    rng = np.random.default_rng(9)
+    some = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    rows = []
+    for pair in range(60):
+        run = some(23)
+        rows += [(pair, side, some(150) + run + some(150)) for side in (0, 1)]
+    df = spark.createDataFrame(rows, "pair long, side long, text string")
+    got = winnowing.fingerprints(df, doc_id="pair", keep=["side"]).withColumn("fp", winnowing.hashes("picked")).collect()
+    fp = {(r.doc_id, r.side): set(r.fp) for r in got}
+    assert all(fp[pair, 0] & fp[pair, 1] for pair in range(60))
+    # two in every 17 places are chosen, about
+    assert all(0.08 < len(h) / 316 < 0.16 for h in fp.values())
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(2)
     x = np.repeat(rng.normal(size=(40, 12)), 60, axis=0) + 0.2 * rng.normal(size=(2400, 12))
