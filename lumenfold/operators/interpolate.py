@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -50,8 +51,8 @@ def cubic_position(x1: Column, x2: Column, v1: Column, v2: Column, frac: float)
     return (2 * f**3 - 3 * f**2 + 1) * x1 + (f**3 - 2 * f**2 + f) * v1 + (3 * f**2 - 2 * f**3) * x2 + (f**3 - f**2) * v2
 
 
-def cubic(pairs: DataFrame, frac: float, unit1: float, unit2: float, box: float | None = None) -> DataFrame:
-    """As :func:`linear`, with places on Hermite's curve.
+def _curved(pairs: DataFrame, frac: float, unit1: float, unit2: float, box: float | None, curve: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
+    """Fields as in :func:`linear`, and places on ``curve`` of both places and both velocities (as lengths over the step).
 
     A particle of one side has its velocity at both ends, and its other end ``v / mean(unit)`` away: a quotient where a
     product would be a length; it is kept, as results depend on it.
@@ -65,13 +66,18 @@ def cubic(pairs: DataFrame, frac: float, unit1: float, unit2: float, box: float
         x2 = F.when(one, F.col(f"{c}1") + v1 / mean).otherwise(F.col(f"{c}2"))
         if box:
             x2 = F.when(one | two, x2).otherwise(minimum_image(x1, x2, box))
-        return cubic_position(x1, x2, v1 * unit1, v2 * unit2, frac).alias(c)
+        return curve(x1, x2, v1 * unit1, v2 * unit2).alias(c)
 
     fade = F.when(two, frac).when(one, 1 - frac).otherwise(1.0)
     mix = lambda c: F.when(one | two, F.coalesce(f"{c}1", f"{c}2")).otherwise((1 - frac) * F.col(f"{c}1") + frac * F.col(f"{c}2"))
     return pairs.select("id", F.coalesce("type1", "type2").alias("type"), *map(place, "xyz"), mix("r").alias("r"), (mix("i") * fade).alias("i"), mix("e").alias("e"))
 
 
+def cubic(pairs: DataFrame, frac: float, unit1: float, unit2: float, box: float | None = None) -> DataFrame:
+    """As :func:`linear`, with places on Hermite's curve."""
+    return _curved(pairs, frac, unit1, unit2, box, lambda x1, x2, v1, v2: cubic_position(x1, x2, v1, v2, frac))
+
+
 def orbital_position(x1: np.ndarray, x2: np.ndarray, v1: np.ndarray, v2: np.ndarray, frac: float) -> np.ndarray:
     """``a0 + a1 cos(w f) + a2 sin(w f)`` with ``w / tan(w / 2) = (v1 + v2) / (x2 - x1)``, at most 1.99; velocities as lengths.
 
@@ -92,14 +98,14 @@ def orbital_position(x1: np.ndarray, x2: np.ndarray, v1: np.ndarray, v2: np.ndar
     return np.where(np.isfinite(target), out, np.nan)
 
 
-def orbital(pairs: DataFrame, frac: float, unit1: float, unit2: float) -> DataFrame:
-    """As :func:`cubic`, with places on arcs; Newton's steps need a vectorised function over Arrow batches."""
+def orbital(pairs: DataFrame, frac: float, unit1: float, unit2: float, box: float | None = None) -> DataFrame:
+    """As :func:`cubic`, with places on arcs; halving steps need a vectorised function over Arrow batches."""
 
     @F.pandas_udf("double")
     def place(x1: pd.Series, x2: pd.Series, v1: pd.Series, v2: pd.Series) -> pd.Series:
-        return pd.Series(orbital_position(x1.to_numpy(float), x2.to_numpy(float), v1.to_numpy(float) * unit1, v2.to_numpy(float) * unit2, frac))
+        return pd.Series(orbital_position(*(s.to_numpy(float) for s in (x1, x2, v1, v2)), frac))
 
-    return pairs.filter("x1 IS NOT NULL AND x2 IS NOT NULL").select("id", *[place(f"{c}1", f"{c}2", f"v{c}1", f"v{c}2").alias(c) for c in "xyz"])
+    return _curved(pairs, frac, unit1, unit2, box, place)
 
 
 def bracket(frames: DataFrame, spacing: float) -> DataFrame:

@@ -198,6 +198,26 @@ def test_interpolation_ends(spark, data):
             assert got == sorted(tuple(round(v, 6) for v in r) for r in both.select("id", f"x{side}", f"y{side}", f"z{side}").collect())
 
 
+def test_orbits_keep_particles_of_one_side(spark, data):
+    pairs = queries.pairs(spark, data)
+    got = interpolate.orbital(pairs, 0.3, 1.0, 1.4)
+    cubic = interpolate.cubic(pairs, 0.3, 1.0, 1.4)
+    rows = lambda df: sorted(tuple(r) for r in df.select("id", "type", "r", "i", "e").collect())
+    assert got.columns == cubic.columns and rows(got) == rows(cubic) and got.count() == pairs.count()
+    assert queries.queries()["interp_orbital"](spark, data).count() == pairs.count()
+    fields = ["id", *[f"{c}{n}" for n in (1, 2) for c in ("x", "y", "z", "vx", "vy", "vz", "r", "i", "e", "type")]]
+    sides = spark.createDataFrame(
+        [(1, *[1.0, 2.0, 3.0, 0.5, -0.25, 1.0, 1.0, 10.0, 2.0, 0], *[None] * 10), (2, *[None] * 10, *[1.0, 2.0, 3.0, 0.5, -0.25, 1.0, 1.0, 10.0, 2.0, 1]), (3, *[1.0, 2.0, 49.0, 0.5, -0.25, 1.0, 1.0, 10.0, 2.0, 0], *[2.0, 1.0, 1.0, 0.5, -0.25, 1.0, 1.0, 20.0, 2.0, 0])],
+        ", ".join(f"{c} {'long' if c == 'id' else 'int' if c[:4] == 'type' else 'double'}" for c in fields),
+    )
+    x, v = np.array([1.0, 2.0, 3.0]), np.array([0.5, -0.25, 1.0])
+    at = lambda x1, x2: interpolate.orbital_position(x1, x2, v, v * 1.4, 0.3)
+    want = {1: (at(x, x + v / 1.2), 7.0, 0), 2: (at(x - v / 1.2, x), 3.0, 1), 3: (at(np.array([1.0, 2.0, 49.0]), np.array([2.0, 1.0, 51.0])), 13.0, 0)}
+    for r in interpolate.orbital(sides, 0.3, 1.0, 1.4, box=50.0).collect():
+        place, i, kind = want[r.id]
+        assert np.allclose([r.x, r.y, r.z], place, equal_nan=True) and math.isclose(r.i, i) and r.type == kind
+
+
 def test_wrap_twice_is_once(spark, data):
     p = views.particles(spark, data)
     once = cam.wrapped(p, (40.0, 5.0, 25.0), 50.0)
