@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.plans.tables import cut, small
+
 #: Rows among which the last step of a selection sorts; until there are so few, each step narrows the range that holds the row.
 LAST = 10_000
 
@@ -21,6 +23,19 @@ def ordered(df: DataFrame, kind: int, tie: str = "pid") -> DataFrame:
     return df.orderBy(F.desc(column) if down else F.asc(column), tie)
 
 
+def ranked(df: DataFrame, kind: int, tie: str = "pid") -> DataFrame:
+    """All particles with their place (``rank``, from 1) in one of the orders.
+
+    A sort deals rows out by ranges; a row's place is that within its range, and the rows of all ranges before.
+    """
+    placed = ordered(df, kind, tie).withColumn("_at", F.monotonically_increasing_id())  # range * 2^33 + place within it
+    placed = cut(placed.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)}), "ordered")
+    counts = cut(placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")), "ranges")  # one row a range
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(small(starts, counts.count()), "_part").withColumn("rank", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
 def nth_smallest(df: DataFrame, field: str, n: int):
     """The ``n``-th smallest value (from 0) of a column, exactly; nulls don't count. None if there are no more than ``n``.
 

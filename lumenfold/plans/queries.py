@@ -524,6 +524,21 @@ _sorted("value_rev", "e, pid", lambda: ["e", "pid"])
 _sorted("size", "r DESC, pid", lambda: [F.desc("r"), "pid"])
 
 
+# the four above show the first 100; these have all particles with their places
+def _ranked(name: str, order: str, kind: int) -> None:
+    def f(spark, d):
+        return selection.ranked(particles(spark, d), kind).select("pid", "rank")
+
+    f.__name__ = f"rank_{name}"
+    query(f"WITH {P} SELECT pid, row_number() OVER (ORDER BY {order}) AS rank FROM p")(f)
+
+
+_ranked("z", "z, pid", 1)
+_ranked("value", "e DESC, pid", 2)
+_ranked("value_rev", "e, pid", 3)
+_ranked("size", "r DESC, pid", 4)
+
+
 @query(f"WITH {P} SELECT {r6('e', 'value')} FROM p ORDER BY e LIMIT 1 OFFSET 2345")
 def nth_element(spark, d):
     value = selection.nth_smallest(particles(spark, d), "e", 2345)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import geometry, images
 from lumenfold.functions.geometry import Camera
 from lumenfold.operators import camera as cam
-from lumenfold.operators import filters, interpolate, palette, rays, session, splat
+from lumenfold.operators import filters, interpolate, palette, rays, selection, session, splat
 from lumenfold.plans import queries, views
 from lumenfold.sources import palettes, params, snapshots
 from lumenfold.streaming import commands
@@ -218,6 +218,21 @@ def test_orbits_keep_particles_of_one_side(spark, data):
         assert np.allclose([r.x, r.y, r.z], place, equal_nan=True) and math.isclose(r.i, i) and r.type == kind
 
 
+def test_sorts_rank_all_particles(spark, data):
+    rows = views.particles(spark, data).select("pid", "z", "e", "r").toPandas()
+    by = {"z": ("z", True), "value": ("e", False), "value_rev": ("e", True), "size": ("r", False)}
+    for name, (column, up) in by.items():
+        got = queries.queries()[f"rank_{name}"](spark, data).toPandas().sort_values("rank")
+        want = rows.sort_values([column, "pid"], ascending=[up, True])
+        assert list(got["rank"]) == list(range(1, len(rows) + 1)) and list(got["pid"]) == list(want["pid"])
+
+
+def test_ranks_of_equals_and_empty_tables(spark):
+    df = spark.range(1000).select((1000 - F.col("id")).alias("pid"), F.lit(1.0).alias("z")).repartition(7)
+    assert {(r.pid, r.rank) for r in selection.ranked(df, 1).collect()} == {(i, i) for i in range(1, 1001)}
+    assert selection.ranked(df.filter("pid < 0"), 1).count() == 0
+
+
 def test_wrap_twice_is_once(spark, data):
     p = views.particles(spark, data)
     once = cam.wrapped(p, (40.0, 5.0, 25.0), 50.0)
