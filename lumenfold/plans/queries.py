@@ -595,6 +595,16 @@ def frame_reuse_lag(spark, d):
     return f.withColumn("reuse", F.coalesce(scalar.approx(F.col("fidx"), before), F.lit(False)))
 
 
+@query("WITH f AS (SELECT event_id, user_id, round(value, 0) AS fidx, lag(round(value, 0)) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT event_id, user_id, fidx + 0.0 AS fidx, coalesce(abs(fidx - before) <= 1e-5 * abs(before), false) AS reuse FROM f")
+def frame_reuse_lists(spark, d):
+    """``frame_reuse_lag`` over all events; each user's are a list of scenes."""
+    from pyspark.sql import Window
+
+    f = table(spark, d, "events").select("event_id", "user_id", F.round("value", 0).alias("fidx"))
+    before = F.lag("fidx").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return f.withColumn("reuse", F.coalesce(scalar.approx(F.col("fidx"), before), F.lit(False)))
+
+
 def _frames_sql(frames: dict[str, Camera]) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS name, " + ", ".join(f"round({float(v)!r}, 6) + 0.0 AS {k}" for k, v in zip(("cx", "cy", "cz", "lx", "ly", "lz"), (*c.position, *c.lookat), strict=True)) for n, c in frames.items())
 

@@ -233,6 +233,13 @@ def test_ranks_of_equals_and_empty_tables(spark):
     assert selection.ranked(df.filter("pid < 0"), 1).count() == 0
 
 
+def test_every_frame_has_its_reuse_flag(spark, data):
+    every = queries.queries()["frame_reuse_lists"](spark, data)
+    assert every.count() == views.table(spark, data, "events").count()
+    one = queries.queries()["frame_reuse_lag"](spark, data)
+    assert every.filter("user_id = 7").select(one.columns).exceptAll(one).isEmpty()
+
+
 def test_wrap_twice_is_once(spark, data):
     p = views.particles(spark, data)
     once = cam.wrapped(p, (40.0, 5.0, 25.0), 50.0)
