@@ -1,12 +1,13 @@
 """A corpus pipeline: toxicity, near duplicates, secrets, mixing, packing; each stage's decisions hold for the next.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's ``docs``. All but the last return the columns of ``documents``.
+stage's ``docs``. All but the last return the columns of ``documents``. Any column may be null, ids too, and rows and ids may
+repeat: stages tell rows apart by a hash of all columns, never by ids alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import jaccard_join, mixing, packing, queries, secret_scan, toxicity
@@ -15,6 +16,11 @@ from lumenfold.plans.tables import cut
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def row_key() -> Column:
+    """The same for equal rows only; nulls count, which the hash alone passes over."""
+    return F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose whole text scores 0.5 or more go."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -22,10 +28,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that of the smallest id; of repeated rows of that id, one."""
-    linked = jaccard_join.link(docs, n=5, percent=80)
-    first = linked.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component stays, that of the smallest id, nulls last; a row without words is like equal rows only."""
+    rows = docs.select(*COLUMNS).withColumn("_key", row_key())
+    linked = jaccard_join.link(rows, n=5, percent=80, doc_id="_key").select(F.col("doc_id").alias("_key"), "component_id")
+    ids = rows.select("_key", "doc_id").distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))
+    first = linked.join(ids, "_key").groupBy("component_id").agg(least.alias("least")).select("least._key")
+    return rows.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +46,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document comes as often as the mix takes it."""
-    copies = mixing.mix(docs).filter("copies > 0").select("doc_id", "copies")
-    repeated = docs.select(*COLUMNS).join(copies, "doc_id")
+    """Every row comes as often as the mix takes it; equal rows come as often as it takes them together."""
+    rows = docs.select(*COLUMNS).withColumn("_key", row_key())
+    mixed = mixing.mix(rows.drop("doc_id").withColumnRenamed("_key", "doc_id"))
+    copies = mixed.filter("copies > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.sum("copies").alias("copies"))
+    repeated = rows.dropDuplicates(["_key"]).join(copies, "_key")
     return repeated.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 

@@ -436,3 +436,24 @@ def test_pipeline(spark, data, tmp_path):
             assert docs.count() == before.count()
             assert not any(brute_secrets(r.text) for r in docs.collect())
     assert {r.doc_id for r in docs.collect()} <= ids
+
+
+def test_pipeline_keeps_null_and_repeated_ids(spark, data):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(400)], 60)) for _ in range(6)]
+    near = texts[0] + " more"
+    rows = [(1, texts[0]), (None, near), (None, texts[1]), (None, None), (None, ""), (2, texts[2]), (2, texts[3]), (2, near), (3, texts[4]), (3, texts[4]), (None, texts[5]), (None, texts[5]), (4, None), (5, "")]
+    df = spark.createDataFrame([(i, t, None if n % 3 else "en", "s", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    names = [(i, t) for i, t in rows]
+    of = lambda out: Counter((r.doc_id, r.text) for r in out.collect())
+    stages = dict(corpus_pipeline.STAGES)
+    assert of(stages["near duplicates"](spark, df, data)) == Counter(n for n in set(names) if n[1] != near)
+    # one source is taken whole, once
+    twice = df.unionByName(df.filter("doc_id = 3 OR doc_id IS NULL"))
+    assert of(stages["mixing"](spark, twice, data)) == of(twice)
+    assert stages["near duplicates"](spark, twice, data).count() == len(set(names)) - 2
+    assert stages["secrets"](spark, twice, data).count() == stages["toxicity"](spark, twice, data).count() == twice.count()
+    packed = stages["packing"](spark, twice, data)
+    assert packed.filter("piece = 0").count() == twice.count()
