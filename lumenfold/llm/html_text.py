@@ -1,9 +1,10 @@
 """Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing, a threshold, and content regions.
 
 The standard library's parser streams events. Text between two block tags is a line; its ratio is its characters over the
-tags met in it. Ratios are smoothed over neighbouring lines by a Gaussian, and lines above the threshold (the mean, less
-``LOOSE`` times the spread) form clusters. The region that the clusters point to is the content: the articles or
-``main`` if a cluster lies in one, else the stretch from a page's first to last cluster. All lines of the region count, short ones too, but for those within menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+tags met in it. Ratios are smoothed over neighbouring lines by a Gaussian. In an article or ``main`` tags decide: a line above the
+mean less ``LOOSE`` times the spread makes all of them the content. Elsewhere the ratios decide: the threshold that best parts
+them in two (Otsu's) forms clusters, unless the two parts' means differ by less than ``APART`` times, and the stretch from a
+page's first to last cluster is the content. All lines of the region count, short ones too, but for those within menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments, which tags, roles, classes and ids tell.
 
 Defined results: null html and pages without content have an empty text; unclosed and stray tags are borne; repeated rows
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIGMA, LOOSE = 1.0, 1.5
+SIGMA, LOOSE, APART = 1.0, 1.5, 4.0
 
 #: Tags whose content is never main text.
 DROPPED = frozenset("head title script style noscript template nav header footer aside form menu dialog button select textarea option iframe object svg canvas audio video".split())
@@ -134,6 +135,19 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
+def parting(values: list[float]) -> float:
+    """The least value of the upper of two clusters, by Otsu's rule; the least of all where they aren't ``APART``."""
+    ordered = sorted(values)
+    total, below, best, at = sum(ordered), 0.0, -1.0, 0
+    for k in range(1, len(ordered)):
+        below += ordered[k - 1]
+        low, high = below / k, (total - below) / (len(ordered) - k)
+        between = k * (len(ordered) - k) * (high - low) ** 2
+        if ordered[k] > ordered[k - 1] and between > best:
+            best, at = between, k if high >= APART * low else 0
+    return ordered[at]
+
+
 def content(html: str | None) -> str:
     """The main text of one page."""
     found = lines(html or "")
@@ -145,6 +159,8 @@ def content(html: str | None) -> str:
     chosen = [i for i, r in enumerate(ratios) if r >= mean - LOOSE * spread]
     if any(found[i][2] for i in chosen):  # a cluster lies in an article or in main
         return " ".join(text for text, _, region in found if region)
+    least = parting(ratios)
+    chosen = [i for i, r in enumerate(ratios) if r >= least]
     return " ".join(text for text, *_ in found[chosen[0] : chosen[-1] + 1])
 
 

@@ -173,6 +173,16 @@ def test_html_parts():
     assert html_text.content("a <![bad b") != ""
 
 
+def test_html_drops_unnamed_menus_and_footers():
+    links = lambda n: "<div>" + "".join(f"<div><a href=x><b>m{i}</b></a></div>" for i in range(n)) + "</div>"
+    said = [f"Paragraph {i} " + "says a good deal about its matter " * 8 for i in range(10)]
+    body = "".join(f"<p>{t}</p>" for t in said)
+    want = " ".join(t.strip() for t in said)
+    for before, after in ((10, 0), (0, 10), (20, 40), (60, 5)):
+        assert html_text.content(f"<html><body>{links(before)}{body}{links(after)}</body></html>") == want
+    assert html_text.content(f"<html><body>{body}</body></html>") == want
+
+
 def test_mixing(spark, data, table):
     first = queries.op5_source_mixing(spark, data).toPandas()
     docs = table("documents")
