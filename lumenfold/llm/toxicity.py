@@ -1,52 +1,60 @@
-"""Toxicity by a subsequence string kernel, Nystroem landmarks and a linear support vector machine.
+"""Toxicity by a subsequence string kernel, Nystroem landmarks and a linear support vector machine over sentences.
 
 The kernel compares two strings by the triples of symbols that they share in order, gaps allowed: a triple that spans
 ``s`` places weighs ``DECAY ** s``, up to ``SPAN`` places. So ``idiot``, ``id-iot``, ``idxiot`` and ``i.d.i.o.t`` are near
-each other. Symbols are a unit's start, letters (accents folded), digits that stand for letters, and classes of other letters; anything
-else only widens gaps. The kernel is normalised by the norm of the triples' weights.
-
-The machine works on units: words, with runs of single letters taken together; a longer unit is read in overlapping
-windows. It is trained on sentences. A sentence of a clean document makes all its units negative; a sentence of a toxic
-document is positive by its witnesses: units whose stems are in toxic documents far more often than chance allows, or, if
-it has none, the unit that the machine itself scores highest. Kernel values against the landmarks, times the inverse root of the landmarks' own kernel matrix,
-are the features; Newton steps fit a squared-hinge machine, weighing both classes alike. As the machine is linear, its
-decision is a sum over triples, so landmarks fold into one weight per triple and a unit is scored without them; that is
-the same number. A logistic curve over a document's best units turns them into its score.
-
-The training sample is bounded by ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` documents, the first by a hash of their ids; every
-document is scored over its whole text.
-
-Defined results: null text is empty, and an empty text has the score of a document without any hit; labels that are null
-or of unknown documents aren't used; a document with labels of both kinds counts as toxic; repeated rows are scored each
-on its own; without a document of each kind all scores are 0; an empty table gives an empty table.
+each other. Symbols are a unit's start, letters, digits that stand for letters, and classes of other letters; anything else only widens gaps. The kernel is normalised: a string's value with itself is 1.
+
+Training sentences carry their document's label; a sentence in documents of both kinds is toxic, and equal sentences count
+once. A sentence is a bag of units: words, with runs of single letters taken together; a longer unit is read in overlapping
+windows, all of them. A toxic sentence is toxic by some of its units, which the labels don't name, so training takes turns
+(multiple-instance learning): the machine says which unit of every toxic sentence is its witness, if any, and is trained
+anew on witnesses against units of clean sentences. The first turn's decision is the difference of the mean embeddings of
+toxic and clean sentences in the kernel's own space, in units of what chance gives it, where that exceeds ``CHANCE``.
+
+Kernel values against the landmarks, times the inverse root of the landmarks' own kernel matrix, are the features; Newton
+steps fit a squared-hinge machine, weighing both classes alike. As the machine is linear, its decision is a sum over
+triples, so landmarks fold into one weight per triple and a unit is scored without them; that is the same number. A
+logistic curve over some of a document's best units (``RANKS``) and the number of its units turns them into its score: where
+toxic words are made of common syllables, one of them may be chance and five are not.
+
+Bounds of the training sample, each a parameter: ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN`` documents, the first by a hash of
+their ids, as far as ``SAMPLE_CHARS`` characters in all go (but for the first of each kind, whole documents); ``WITNESSES`` strings of
+toxic and ``CLEAN_UNITS`` of clean sentences in the machine, of clean ones those in most sentences, some by chance, and in
+each turn those that the machine takes most for toxic. Every document is scored over its whole text.
+
+Defined results: null text is empty, and an empty text has the score of a document without any unit; labels that are null
+or of unknown documents aren't used; a document with labels of both kinds counts as toxic; of rows with one id, the greatest text is learnt from; repeated rows are scored each
+on its own; without a document of each kind all scores are 0; other columns are not looked at, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import math
 import re
-import sys
-import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DECAY, SPAN, WINDOW, STEP = 0.6, 8, 20, 10
 SYMBOLS, START = 65, 64
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
-LANDMARKS = 192
-TOP = 3
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 20_000_000
+LANDMARKS, WITNESSES, CLEAN_UNITS = 256, 3000, 6000
+CHANCE, TURNS = 4.0, 4
+#: How many times likelier in toxic sentences a witness is than others, and what share of clean sentences' units its value exceeds, at first and later.
+LIFT, FIRST, LATER = 3.0, 0.995, 0.999
 CACHE = 200_000
+#: Places (from 0) of a document's units, best first, whose decision values make its score.
+RANKS = np.array([0, 1, 2, 4, 7, 12, 20, 33, 54])
 
 #: Digits that stand for letters.
 LEET = str.maketrans("013457", "oieast")
 _EDGE = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "¡¿«»„“”‘’…–—"
 _SINGLE = re.compile(r"(?:(?<=\s)|^)\w(?:\s+\w(?=\s|$)){2,}")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
+_WEIGHT = DECAY ** np.arange(SPAN + 1, dtype=float)
 
 
 def symbols(unit: str) -> list[int]:
@@ -58,8 +66,7 @@ def symbols(unit: str) -> list[int]:
         elif c < "\x80":
             out.append(0)
         elif c.isalpha():
-            base = unicodedata.normalize("NFKD", c)[0]
-            out.append(ord(base) - 96 if "a" <= base <= "z" else 27 + ord(c) % 37)
+            out.append(27 + ord(c) % 37)
         else:
             out.append(0)
     return out
@@ -81,57 +88,69 @@ def windows(unit: str) -> list[str]:
     return [unit[i : i + WINDOW] for i in range(0, len(unit) - WINDOW + STEP, STEP)]
 
 
-def _triples(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and weights of all triples: rows are strings; absent triples have weight 0."""
-    length = max(map(len, strings)) + 1
-    codes = np.zeros((len(strings), length), np.int32)
-    for i, s in enumerate(strings):
-        codes[i, : len(s) + 1] = symbols(s)
-    steps = [(i, j, k) for i in range(length) for j in range(i + 1, min(length, i + SPAN - 1)) for k in range(j + 1, min(length, i + SPAN))]
-    if not steps:
-        return np.zeros((len(strings), 1), np.int32), np.zeros((len(strings), 1))
-    i, j, k = np.array(steps).T
-    a, b, c = codes[:, i], codes[:, j], codes[:, k]
-    weight = np.where((a > 0) & (b > 0) & (c > 0), DECAY ** (k - i + 1), 0.0)
-    return (a * SYMBOLS + b) * SYMBOLS + c, weight
+class Features:
+    """Strings as rows of a sparse matrix: ``code`` and ``value`` of triples, normalised; row ``i`` is ``starts[i]:starts[i + 1]``."""
+
+    __slots__ = ("code", "row", "rows", "value")
+
+    def __init__(self, strings: list[str]) -> None:
+        length = max(map(len, strings)) + 1
+        codes = np.zeros((len(strings), length), np.int32)
+        for i, s in enumerate(strings):
+            codes[i, : len(s) + 1] = symbols(s)
+        steps = [(i, j, k) for i in range(length) for j in range(i + 1, min(length, i + SPAN - 1)) for k in range(j + 1, min(length, i + SPAN))]
+        self.rows = len(strings)
+        if not steps:
+            self.code, self.row, self.value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            return
+        i, j, k = np.array(steps).T
+        a, b, c = codes[:, i], codes[:, j], codes[:, k]
+        # a triple and its span in one number, so that a row's equal triples lie together once sorted
+        packed = np.where((a > 0) & (b > 0) & (c > 0), (((a * SYMBOLS + b) * SYMBOLS + c) << 4) | (k - i + 1), 0)
+        packed.sort(axis=1)
+        row, at = np.nonzero(packed)
+        flat = packed[row, at]
+        code = flat >> 4
+        first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])])) if len(code) else np.zeros(0, np.int64)
+        value = np.add.reduceat(_WEIGHT[flat & 15], first) if len(code) else np.zeros(0)
+        self.code, self.row = code[first].astype(np.int64), row[first]
+        norm = np.sqrt(np.bincount(self.row, value**2, self.rows))
+        self.value = value / np.maximum(norm, 1e-12)[self.row]
+
+    def dot(self, table: np.ndarray) -> np.ndarray:
+        """The sums of each row's values times the table's weights."""
+        return np.bincount(self.row, table[self.code] * self.value, self.rows)
+
+
+def batches_of(strings: list[str], size: int = 2048) -> Iterator[tuple[np.ndarray, Features]]:
+    """All strings, in batches of about one length each, and their places."""
+    order = np.argsort([len(s) for s in strings], kind="stable")
+    for lo in range(0, len(order), size):
+        at = order[lo : lo + size]
+        yield at, Features([strings[i] for i in at])
 
 
 def unit_scores(strings: list[str], table: np.ndarray) -> np.ndarray:
-    """Decision values of strings: their triples' weights in ``table`` over the norm of their triples."""
+    """Decision values of strings: their normalised triples times their weights in ``table``."""
     out = np.zeros(len(strings))
-    by: dict[int, list[int]] = {}
-    for at, s in enumerate(strings):
-        by.setdefault(-(-len(s) // 4), []).append(at)
-    for rows in by.values():
-        for lo in range(0, len(rows), 2048):
-            some = rows[lo : lo + 2048]
-            code, weight = _triples([strings[r] for r in some])
-            norm = np.sqrt((weight**2).sum(axis=1))
-            out[some] = np.where(norm > 0, (table[code] * weight).sum(axis=1) / np.maximum(norm, 1e-12), 0.0)
+    for at, f in batches_of(strings):
+        out[at] = f.dot(table)
     return out
 
 
-def _kernel(left: list[str], landmarks: list[str]) -> np.ndarray:
+def kernel(left: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel values, strings by landmarks."""
-    code, weight = _triples(landmarks)
-    used = np.unique(code[weight > 0])
-    column = np.full(SYMBOLS**3, len(used), np.int32)
-    column[used] = np.arange(len(used))
+    own = Features(landmarks)
+    used, column = np.unique(own.code, return_inverse=True)
     dense = np.zeros((len(used) + 1, len(landmarks)), np.float32)  # the last row stands for triples of no landmark
-    norm = np.maximum(np.sqrt((weight**2).sum(axis=1)), 1e-12)
-    rows = np.broadcast_to(np.arange(len(landmarks))[:, None], code.shape)
-    np.add.at(dense, (column[code], rows), np.where(weight > 0, weight / norm[:, None], 0.0))
-    dense[-1] = 0.0
+    dense[column, own.row] = own.value
+    place = np.full(SYMBOLS**3, len(used), np.int32)
+    place[used] = np.arange(len(used))
     out = np.zeros((len(left), len(landmarks)))
-    by: dict[int, list[int]] = {}
-    for at, s in enumerate(left):
-        by.setdefault(-(-len(s) // 4), []).append(at)
-    for some in by.values():
-        for lo in range(0, len(some), 128):
-            at = some[lo : lo + 128]
-            code, weight = _triples([left[a] for a in at])
-            norm = np.maximum(np.sqrt((weight**2).sum(axis=1)), 1e-12)
-            out[at] = np.einsum("nt,ntm->nm", (weight / norm[:, None]).astype(np.float32), dense[column[code]], optimize=True)
+    for at, f in batches_of(left, 128):
+        if len(f.row):
+            held, starts = np.unique(f.row, return_index=True)
+            out[at[held]] = np.add.reduceat(dense[place[f.code]] * f.value[:, None].astype(np.float32), starts, axis=0)
     return out
 
 
@@ -152,138 +171,155 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 300.0) ->
     return w[:-1], float(w[-1])
 
 
-def _doc_features(best: np.ndarray) -> np.ndarray:
-    """The best units' decision values; what lies beyond the margin counts as the margin."""
-    return np.clip(best, -1.0, 1.0)
-
-
-def best_units(texts: list[str], table: np.ndarray, bias: float, cache: dict[str, float]) -> np.ndarray:
-    """The TOP highest decision values of each text; -1 where it has fewer units."""
-    each = [units(t) for t in texts]
-    new = list({u for us in each for u in us if u not in cache})
+def machine(strings: list[str], labels: np.ndarray, weight: np.ndarray, landmarks: list[str]) -> tuple[np.ndarray, float]:
+    """A support vector machine on Nystroem features, folded to one weight per triple, and its bias."""
+    own = kernel(landmarks, landmarks)
+    values, vectors = np.linalg.eigh((own + own.T) / 2)
+    keep = values > 1e-4 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    w, bias = _svm(kernel(strings, landmarks) @ root, labels, weight)
+    f = Features(landmarks)
+    return np.bincount(f.code, f.value * (root @ w)[f.row], SYMBOLS**3), bias
+
+
+def evidence(units_: list[str], toxic: np.ndarray, every: np.ndarray, share: float) -> np.ndarray:
+    """For each triple, how far its sum over toxic sentences exceeds their share of all, in standard deviations of chance.
+
+    ``toxic`` and ``every`` are the numbers of toxic and of all sentences that hold a unit.
+    """
+    parts = [(i, w) for i, u in enumerate(units_) for w in windows(u)]
+    at = np.array([p[0] for p in parts])
+    seen, spread = np.zeros(SYMBOLS**3), np.zeros(SYMBOLS**3)
+    for rows, f in batches_of([p[1] for p in parts]):
+        unit = at[rows][f.row]
+        seen += np.bincount(f.code, f.value * (toxic - share * every)[unit], len(seen))
+        spread += np.bincount(f.code, f.value**2 * every[unit], len(seen))
+    return seen / np.sqrt(share * (1 - share) * spread + 1.0)
+
+
+def best_windows(units_: list[str], table: np.ndarray, bias: float = 0.0) -> tuple[np.ndarray, list[str]]:
+    """Each unit's highest decision value over its windows, and that window."""
+    parts = [(i, w) for i, u in enumerate(units_) for w in windows(u)]
+    value = unit_scores([p[1] for p in parts], table) + bias
+    best, which = np.full(len(units_), -np.inf), [""] * len(units_)
+    for (i, w), v in zip(parts, value.tolist(), strict=True):
+        if v > best[i]:
+            best[i], which[i] = v, w
+    return best, which
+
+
+def doc_features(units_of: list[set[str]], table: np.ndarray, bias: float, cache: dict[str, float]) -> np.ndarray:
+    """Decision values of the units at ``RANKS``, within the margins (-1 where there are fewer), and the log of the number of units."""
+    new = list({u for us in units_of for u in us if u not in cache})
     if len(cache) + len(new) > CACHE:
         cache.clear()
-        new = list({u for us in each for u in us})
-    parts = [(u, w) for u in new for w in windows(u)]
-    if parts:
-        scores = unit_scores([w for _, w in parts], table) + bias
-        for (u, _), s in zip(parts, scores.tolist(), strict=True):
-            if u not in cache or s > cache[u]:
-                cache[u] = s
-    out = np.full((len(texts), TOP), -1.0)
-    for i, us in enumerate(each):
-        top = sorted(map(cache.__getitem__, us), reverse=True)[:TOP]
-        out[i, : len(top)] = np.maximum(top, -1.0)
+        new = list({u for us in units_of for u in us})
+    if new:
+        cache.update(zip(new, best_windows(new, table, bias)[0].tolist(), strict=True))
+    out = np.full((len(units_of), len(RANKS) + 1), -1.0)
+    for i, us in enumerate(units_of):
+        top = np.sort(np.fromiter(map(cache.__getitem__, us), float, len(us)))[::-1]
+        held = top[RANKS[RANKS < len(top)]]
+        out[i, : len(held)] = np.clip(held, -1.0, 1.0)
+        out[i, -1] = np.log1p(len(us))
     return out
 
 
+def probabilities(x: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -30, 30)))
+
+
 def train(texts: list[str], toxic: list[int], *, seed: int = 7) -> dict:
     """A model from documents and their labels: ``table`` (a weight per triple), ``bias``, ``curve``."""
     rng = np.random.default_rng(seed)
     y = np.array(toxic)
+    none = {"table": None, "bias": 0.0, "curve": None}
     if not (y == 1).any() or not (y == 0).any():
-        return {"table": None, "bias": 0.0, "curve": None}
-    docs = []  # the units of a document's sentences, at least 3 characters long; equal strings are kept once
-    for t in texts:
-        found = set().union(*(units(x) for x in re.split(r"(?<=[.!?])\s+|\n", t) if x))
-        docs.append(sorted(sys.intern(u) for u in found if len(u) >= 3))
-    # near copies of a document are one witness: they share the same rarest of the units that aren't theirs alone
-    in_docs = Counter(u for us in docs for u in us)
-    families: dict[tuple[int, int], list[int]] = {}
-    for d, us in enumerate(docs):
-        families.setdefault(min(((in_docs[u], zlib.crc32(u.encode())) for u in us if in_docs[u] > 1), default=(0, -d)), []).append(d)
-    stems = lambda us: {u[:n] for u in us for n in (4, 5, 6, 99)}
-    # a stem tells toxic documents if it is in more of their families than chance gives any of all stems, and in at least
-    # a hundredth of them
+        return none
+    labels: dict[str, int] = {}
+    for t, label in zip(texts, y.tolist(), strict=True):
+        for s in _SENTENCE.split(t):
+            labels[s] = max(labels.get(s, 0), label)
+    bags = [(units(s), label) for s, label in labels.items()]
+    bags = [(us, label) for us, label in bags if us]
+    share = sum(label for _, label in bags) / max(1, len(bags))
+    if not 0 < share < 1:
+        return none
     count: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    toxic_families = 0
-    for label in (1, 0):
-        for members in families.values():
-            own = [d for d in members if y[d] == label]
-            if own:
-                found = set().union(*(stems(docs[d]) for d in own))
-                count[label].update(found if label else (g for g in found if g in count[1]))
-                toxic_families += label
-    q = toxic_families / max(1, len(families))
-    most = math.log(0.05 / max(1, len(count[1])))
-    sure = set()
-    for g, k in count[1].items():
-        n = k + count[0][g]
-        if k >= max(3, 0.01 * toxic_families) and k > 2 * q * n:
-            chance = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(q) + (n - k) * math.log(max(1e-300, 1 - q))
-            if chance < most and k >= 0.8 * n:
-                sure.add(g)
-    del count, in_docs, families
-    telling = lambda u: any(u[:n] in sure for n in (4, 5, 6, 99))
-    in_clean = Counter(u for us, label in zip(docs, y.tolist(), strict=True) if not label for u in us)
-    names = sorted(in_clean, key=lambda u: (-in_clean[u], u))
-    pool = names[:1500] + [names[i] for i in rng.permutation(np.arange(1500, len(names)))[:2500]] if len(names) > 4000 else names
-    toxic_docs = [us for us, label in zip(docs, y.tolist(), strict=True) if label]
+    for us, label in bags:
+        count[label].update(us)
+    names = sorted(count[0].keys() | count[1].keys())
+    place = {u: i for i, u in enumerate(names)}
+    in_toxic, in_clean = (np.array([count[label][u] for u in names], float) for label in (1, 0))
+    toxic_bags = [np.fromiter((place[u] for u in us), int, len(us)) for us, label in bags if label]
+    del labels, bags, count, place
+    z = evidence(names, in_toxic, in_toxic + in_clean, share)
+    best, window = best_windows(names, np.where(z > CHANCE, z, 0.0))
+
+    def above(share_: float) -> float:
+        """The value that this share of what clean sentences hold does not exceed."""
+        order = np.argsort(best)
+        passed = np.cumsum(in_clean[order]) / in_clean.sum()
+        return max(0.0, float(best[order[min(len(order) - 1, int(np.searchsorted(passed, share_)))]]))
+
+    floor = above(FIRST)
+    negatives = np.flatnonzero(in_clean > 0)
+    common = negatives[np.argsort(-in_clean[negatives], kind="stable")][: CLEAN_UNITS // 3]
+    pool = set(common.tolist()) | set(rng.permutation(negatives)[: CLEAN_UNITS // 3].tolist())
     model = None
-    for turn in range(3):
-        witness: Counter[str] = Counter()
-        for us in toxic_docs:
-            own = [u for u in us if telling(u)]
-            if not own and model:  # a document without a telling unit: the one that the machine scores highest
-                values = unit_scores([windows(u)[0] for u in us], model["table"]) + model["bias"] if us else np.zeros(0)
-                own = [us[int(values.argmax())]] if len(us) and values.max() > 0 else []
-            witness.update(own)
-        witness = Counter({u: n for u, n in witness.items() if in_clean[u] * 4 <= n})
-        if not witness:
+    for _ in range(TURNS):
+        witness: Counter[int] = Counter()
+        for us in toxic_bags:
+            top = us[best[us].argmax()]
+            if best[top] > floor:
+                witness[int(top)] += 1
+        # a unit that is common in clean sentences, too, tells nothing
+        chosen = [u for u, _ in witness.most_common() if in_toxic[u] * (1 - share) >= LIFT * share * in_clean[u]][:WITNESSES]
+        if not chosen:
             break
-        positives = sorted(witness, key=lambda u: (-witness[u], u))[:2000]
-        pool = [u for u in pool if u not in witness]
-        strings = [windows(u)[0] for u in positives + pool]
-        labels = np.array([1.0] * len(positives) + [-1.0] * len(pool))
-        weight = np.concatenate([np.sqrt([witness[u] for u in positives]), np.ones(len(pool))])
-        weight[labels > 0] /= weight[labels > 0].sum()
-        weight[labels < 0] /= weight[labels < 0].sum()
-        half = LANDMARKS // 2
-        first = [positives[i] for i in rng.permutation(len(positives))[: half // 2]]
-        some = list(dict.fromkeys(positives[: half // 2] + first))
-        some += [pool[i] for i in rng.permutation(len(pool))[: LANDMARKS - len(some)]]
-        landmarks = [windows(u)[0] for u in some]
-        own_kernel = _kernel(landmarks, landmarks)
-        values, vectors = np.linalg.eigh((own_kernel + own_kernel.T) / 2)
-        keep = values > 1e-4 * values.max()
-        root = vectors[:, keep] / np.sqrt(values[keep])
-        w, bias = _svm(_kernel(strings, landmarks) @ root, labels, weight)
-        alpha = root @ w
-        # the decision as one weight per triple
-        code, spread = _triples(landmarks)
-        norm = np.maximum(np.sqrt((spread**2).sum(axis=1)), 1e-12)
-        table = np.zeros(SYMBOLS**3)
-        np.add.at(table, code, spread * (alpha / norm)[:, None])
-        table[0] = 0.0
+        hard = negatives[np.argsort(-best[negatives], kind="stable")][: CLEAN_UNITS // 3]
+        pool |= set(hard.tolist())
+        clean = sorted(pool - {u for u in chosen if in_toxic[u] > in_clean[u]})
+        if not clean:
+            break
+        pos, neg = np.array([witness[u] for u in chosen], float), np.sqrt(in_clean[clean])
+        weight = np.concatenate([pos / pos.sum(), neg / neg.sum()])
+        some = list(dict.fromkeys(chosen[: LANDMARKS // 4] + [chosen[i] for i in rng.permutation(len(chosen))[: LANDMARKS // 4]]))
+        some += [clean[i] for i in rng.permutation(len(clean))[: LANDMARKS - len(some)]]
+        strings = [window[u] for u in chosen + clean]
+        table, bias = machine(strings, np.array([1.0] * len(chosen) + [-1.0] * len(clean)), weight, list(dict.fromkeys(window[u] for u in some)))
         model = {"table": table, "bias": bias}
-        # clean units that came out positive join the negatives
-        inside = set(pool) | set(witness)
-        rest = [u for u in names if u not in inside]
-        if rest:
-            near = unit_scores([windows(u)[0] for u in rest], table) + bias
-            hard = sorted(((v, u) for u, v in zip(rest, near.tolist(), strict=True) if v > -0.5), reverse=True)
-            pool = pool + [u for _, u in hard[:2000]]
+        best, window = best_windows(names, table, bias)
+        floor = above(LATER)
     if model is None:
-        return {"table": None, "bias": 0.0, "curve": None}
+        return none
     cache: dict[str, float] = {}
-    best = [best_units(texts[i : i + 256], model["table"], model["bias"], cache) for i in range(0, len(texts), 256)]
-    model["curve"] = _logistic(_doc_features(np.concatenate(best)), y)
+    x = np.concatenate([doc_features([units(t) for t in texts[i : i + 256]], model["table"], model["bias"], cache) for i in range(0, len(texts), 256)])
+    model["curve"] = _logistic(x, y)
     model["table"] = model["table"].astype(np.float32)
     return model
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of a ridge logistic curve, by Newton steps; the classes count as they come."""
+    """Weights of a ridge logistic curve, by Newton steps. A better unit never lowers a score: where the curve would have it
+    so, its column is left out. Toxic documents, which are fewer, weigh the square root of how many times fewer."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x1.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        h = x1.T @ (x1 * (p * (1 - p) + 1e-6)[:, None]) + 0.1 * np.eye(len(w))
-        step = np.linalg.solve(h, x1.T @ (p - y) + 0.1 * w)
-        w = w - step
-        if np.abs(step).max() < 1e-7:
-            break
-    return w
+    of = np.where(y == 1, np.sqrt((y == 0).sum() / (y == 1).sum()), 1.0)
+    free = np.arange(x1.shape[1])
+    while True:
+        own, w = x1[:, free], np.zeros(len(free))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+            h = own.T @ (own * (of * (p * (1 - p) + 1e-6))[:, None]) + 0.1 * np.eye(len(w))
+            step = np.linalg.solve(h, own.T @ (of * (p - y)) + 0.1 * w)
+            w = w - step
+            if np.abs(step).max() < 1e-7:
+                break
+        if not ((w < 0) & (free < len(RANKS))).any():
+            out = np.zeros(x1.shape[1])
+            out[free] = w
+            return out
+        free = free[(w >= 0) | (free >= len(RANKS))]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -293,11 +329,16 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
     """Train on a bounded sample of the labelled documents that aren't held out."""
-    known = labels.filter(F.col(label).isNotNull() & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).alias("_y"))
+    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).filter("_y IS NOT NULL AND _id IS NOT NULL").filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
     order = F.xxhash64(F.lit("toxicity"), "_id")
     few = known.filter("_y = 1").orderBy(order, "_id").limit(SAMPLE_TOXIC).unionByName(known.filter("_y = 0").orderBy(order, "_id").limit(SAMPLE_CLEAN))
-    few = F.broadcast(few)  # SAMPLE_TOXIC + SAMPLE_CLEAN rows at most
-    rows = docs.join(few, docs[doc_id] == few["_id"]).groupBy("_id", "_y").agg(F.max(F.coalesce(docs[text], F.lit(""))).alias("_text")).orderBy("_id").toPandas()
+    few = F.broadcast(few.withColumn("_order", order))  # SAMPLE_TOXIC + SAMPLE_CLEAN rows at most
+    plain = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = plain.join(few, "_id").groupBy("_id", "_y", "_order").agg(F.max("_text").alias("_text"))
+    # whole documents, in the order of the hash, as far as the characters go
+    before = Window.partitionBy("_y").orderBy("_order", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_before", F.coalesce(F.sum(F.char_length("_text").cast("long")).over(before), F.lit(0))).filter(F.col("_before") < SAMPLE_CHARS // 2)
+    rows = rows.select("_y", "_text", "_order", "_id").orderBy("_y", "_order", "_id").toPandas()
     return train(rows["_text"].tolist(), rows["_y"].astype(int).tolist())
 
 
@@ -314,8 +355,7 @@ def score(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: str = "
                 if m["table"] is None:
                     p = np.zeros(len(part))
                 else:
-                    x = _doc_features(best_units(part["_text"].tolist(), m["table"], m["bias"], cache))
-                    p = 1 / (1 + np.exp(-np.clip(x @ m["curve"][:-1] + m["curve"][-1], -30, 30)))
+                    p = probabilities(doc_features([units(t) for t in part["_text"]], m["table"], m["bias"], cache), m["curve"])
                 out = part[names].copy()
                 out["score"] = p
                 yield out

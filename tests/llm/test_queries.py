@@ -97,14 +97,76 @@ def test_toxicity_learns_insults_with_gaps():
             ws[i] = str(rng.choice(["jerkwad", "blockhead", "nitwit"]))
         toxic.append(" ".join(ws) + ".")
     model = toxicity.train(clean + toxic, [0] * 200 + [1] * 60)
-    best = lambda t: toxicity.best_units([t], model["table"], model["bias"], {})
-    p = lambda t: (1 / (1 + np.exp(-(toxicity._doc_features(best(t)) @ model["curve"][:-1] + model["curve"][-1]))))[0]
+    p = lambda t: toxicity.probabilities(toxicity.doc_features([toxicity.units(t)], model["table"], model["bias"], {}), model["curve"])[0]
     assert p("tamo nitwit rike blockhead jerkwad") > 0.5
     assert p("tamo n.i.t.w.i.t rike b-l-o-c-k-h-e-a-d jerk.wad") > 0.5
+    assert p("tamo n i t w i t rike nitxwit blockyhead") > 0.5
     assert p("tamo rike lusan poldenta") < 0.5 and p("") < 0.5
-    # folded weights give the kernel machine's own values
-    code, weight = toxicity._triples(["nitwit"])
-    assert np.isclose((model["table"][code] * weight).sum() / np.sqrt((weight**2).sum()), toxicity.unit_scores(["nitwit"], model["table"])[0])
+
+
+def brute_triples(s):
+    """All triples of a string, gaps allowed, each with its weight; the kernel's own space."""
+    from itertools import combinations
+
+    codes, out = toxicity.symbols(s), defaultdict(float)
+    for i, j, k in combinations(range(len(codes)), 3):
+        if codes[i] and codes[j] and codes[k] and k - i + 1 <= toxicity.SPAN:
+            out[codes[i], codes[j], codes[k]] += toxicity.DECAY ** (k - i + 1)
+    return out
+
+
+def brute_kernel(s, t):
+    a, b = brute_triples(s), brute_triples(t)
+    norm = np.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+    return sum(v * b[k] for k, v in a.items() if k in b) / norm if norm else 0.0
+
+
+def test_toxicity_kernel_against_brute_force():
+    words = ["idiot", "id-iot", "i.d.i.o.t", "1d1ot", "anana", "aaaaaa", "réeuxê", "reeuxe", "ab", "x", "...", "a" * 20, "worthless", "worxthless"]
+    want = np.array([[brute_kernel(s, t) for t in words] for s in words])
+    assert np.allclose(toxicity.kernel(words, words), want, atol=1e-6)
+    assert want[0, 1] > 0.5 and want[12, 13] > 0.5 and want[0, 4] < 0.2
+    # Nystroem features give the landmarks' own kernel matrix back, and folded weights give the machine's own values
+    marks, rest = words[:6], words[6:]
+    own = toxicity.kernel(marks, marks)
+    values, vectors = np.linalg.eigh((own + own.T) / 2)
+    keep = values > 1e-4 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    assert np.allclose((own @ root) @ (own @ root).T, own, atol=1e-3)
+    labels = np.array([1.0, 1, 1, 1, -1, -1])
+    weight = np.ones(6) / 6
+    table, bias = toxicity.machine(marks, labels, weight, marks)
+    w, b = toxicity._svm(own @ root, labels, weight)
+    assert np.isclose(b, bias) and np.allclose(toxicity.unit_scores(words, table), toxicity.kernel(words, marks) @ root @ w, atol=1e-5)
+    assert (np.sign(toxicity.unit_scores(marks, table) + bias) == labels).all()
+    # the squared-hinge machine: no step lowers its cost
+    cost = lambda w, b: 0.5 * (w @ w + 1e-3 * b * b) + 150 * (weight * np.maximum(0, 1 - labels * (own @ root @ w + b)) ** 2).sum()
+    rng = np.random.default_rng(0)
+    assert all(cost(w + 1e-3 * rng.normal(size=len(w)), b + 1e-3 * rng.normal()) >= cost(w, b) - 1e-9 for _ in range(50))
+
+
+def test_toxicity_whole_units_and_sentences():
+    # an insult after place 20 of a long unit is read, in training and in scoring
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    clean = [" ".join(word(6) for _ in range(20)) + "." for _ in range(120)]
+    toxic = [" ".join([word(6) for _ in range(10)] + [word(31) + "zquixot" + word(3)]) + "." for _ in range(50)]
+    model = toxicity.train(clean + toxic, [0] * 120 + [1] * 50)
+    best, window = toxicity.best_windows([word(27) + "zquixot", word(34)], model["table"], model["bias"])
+    assert best[0] > 0 > best[1] and "quixot" in window[0]
+    assert toxicity.train(["a b"], [1])["table"] is None and toxicity.train([], [])["table"] is None
+
+
+def test_toxicity_held_out():
+    """Recall and precision on the fifth of the labels that nothing was learnt from, over the larger tables."""
+    d = os.environ.get("TEST_DATA_LARGE", "/root/testdata/sf0.1")
+    both = pd.read_parquet(f"{d}/labels.parquet").merge(pd.read_parquet(f"{d}/documents.parquet"), on="doc_id")
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in both["doc_id"]])
+    texts = both["text"].fillna("")
+    model = toxicity.train(texts[~held].tolist(), both["toxic"][~held].tolist())
+    x = toxicity.doc_features([toxicity.units(t) for t in texts[held]], model["table"], model["bias"], {})
+    said, true = toxicity.probabilities(x, model["curve"]) >= 0.5, both["toxic"][held].to_numpy() == 1
+    assert (said & true).sum() >= 0.9 * true.sum() and (said & true).sum() >= 0.9 * said.sum()
 
 
 def test_chat(spark, data, table):
