@@ -7,14 +7,18 @@ import math
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast; beyond it, the join is shuffled and adaptive execution splits hot keys.
 BROADCAST_ROWS = 10_000
+#: Rows of a file of a table whose number of rows is known before it is written.
+FILE_ROWS = 250_000
 
 _own: dict[str, str] = {}
+_written: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,12 +35,30 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own["dir"]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; a lost executor costs at most the tasks after it."""
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; a lost executor costs at most the tasks after it.
+
+    Where it is known to have about ``rows`` rows, it goes to as few files as hold ``FILE_ROWS`` each.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(1, math.ceil(rows / FILE_ROWS)))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more; tables that :func:`cut` didn't write stay."""
+    for df in tables:
+        ref, path = _written.pop(id(df), (None, None))
+        if ref is None or ref() is not df:
+            continue
+        jvm = df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
