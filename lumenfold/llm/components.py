@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.plans.tables import cut
+from lumenfold.plans.tables import cut, dropped
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,13 +23,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
-    """``node, component`` (its least node) of every node of ``links`` (``u, v`` of one type), but for least nodes."""
+    """``node, component`` (its least node) of every node of ``links`` (``u, v`` of one type), but for least nodes.
+
+    Null ends and links of a node with itself don't count; repeated links count once; no links give no rows. Raises if the
+    contractions haven't settled after ``most_rounds`` (they take about the square of the logarithm of the nodes).
+    """
     edges = cut(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    state, before = _state(edges), None
     for _ in range(most_rounds):
-        edges = cut(_small_star(_large_star(edges)), "stars")
-        state = tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if state == before or not state[0]:
-            break
-        before = state
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        new = cut(_small_star(_large_star(edges)), "stars", rows=state[0])
+        dropped(edges)
+        edges, before, state = new, state, _state(new)
+    raise RuntimeError(f"components haven't settled after {most_rounds} rounds")
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Equal for equal sets of links."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())

@@ -292,9 +292,9 @@ def _links(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     # a large group's rows are dealt to blocks by bands of size, and by a hash within a band
     # bands are a little wider than the ratio, so that rounding parts no pair by two
     band = F.floor(F.log(F.col("size")) / (1e-6 + math.log(100 / percent))).cast("int")
-    laid = cut(laid.select("node", "size", "grams", "home", "large", F.when(F.col("large"), band).otherwise(0).alias("band")), "laid")
+    laid = cut(laid.select("node", "size", "grams", "home", "large", F.when(F.col("large"), band).otherwise(0).alias("band")), "laid", rows=total + grams // 40)
     bands = laid.groupBy("large", "home", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"))
-    bands = cut(bands.withColumn("pieces", F.when(F.col("large"), F.ceil(F.greatest(F.col("n") / ROWS, F.col("grams") / BATCH_GRAMS))).otherwise(1).cast("int")), "bands")
+    bands = cut(bands.withColumn("pieces", F.when(F.col("large"), F.ceil(F.greatest(F.col("n") / ROWS, F.col("grams") / BATCH_GRAMS))).otherwise(1).cast("int")), "bands", rows=total)
     keyed = laid.join(bands.select("large", "home", "band", "pieces"), ["large", "home", "band"]).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
     keyed = keyed.select("large", "home", "band", "piece", "node", "size", "grams")
     key = ["large", "home", "band", "piece"]
@@ -324,7 +324,7 @@ def link(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_i
     # a word has some five characters; fewer than 32 blocks don't fit the width of what is sent
     blocks = max(32, parts(spark, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5, COLUMNS))
     both = cut(_shared_columns(rows, blocks, n, percent), "shared")
-    sets = cut(_sets(both), "sets")
+    sets = _sets(both)
     classes = sets.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     # equal sets have equal columns and counts: one row stays
     rows = cut(both.filter("node IS NOT NULL").select("node", "size", "grams").groupBy("node").agg(F.first("size").alias("size"), F.first("grams").alias("grams")), "rows")
