@@ -233,6 +233,39 @@ def test_html_parts():
     assert html_text.content("<article><p>a</p><div class=ad>b</div><p>c") == "a c"
     assert html_text.content(None) == html_text.content("") == html_text.content("<nav>x</nav>") == ""
     assert html_text.content("a <![bad b") != ""
+    assert html_text.content('<p>Intro<p class="ad">Buy<p>Second<p>Third') == "Intro Second Third"
+    assert html_text.content('<div class="ad-free reader"><p>Kept text</p></div>') == "Kept text"
+    assert html_text.content('<div class="share-page"><h1>T</h1><p>body text</p><div class="share">tweet</div></div>') == "T body text"
+    assert html_text.content("<article><p>one <b>two<p>three</b> four</article><p>after") == "one two three four"
+    assert html_text.content("<article><ul><li class=ad>x<li>y</ul><p>z</article>") == "y z"
+
+
+LONG = "A sentence that says a good deal about the matter at hand, and goes on. " * 6
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", '<div id="story">{}</div>', "<section>{}</section>", "<table><tr><td>{}</td></tr></table>"])
+def test_html_region_is_chosen_by_ratios(wrap):
+    said = ["Title of it", LONG, "Short.", LONG * 3, "Tiny", LONG * 40, "End."]
+    body = "<h1>Title of it</h1>" + "".join(f"<p>{t}</p>" for t in said[1:])
+    menu = "<div>" + "".join(f"<div><a href=x>m{i}</a></div>" for i in range(30)) + "</div>"
+    side = "<div><p>Other stories</p>" + "".join(f"<p><a href=y>story {i}</a></p>" for i in range(8)) + "</div>"
+    want = " ".join(t.strip() for t in said)
+    page = f"<body>{menu}<div>Log in | Sign up</div>{wrap.format(body)}{side}<div>&copy; 2024</div>{menu}</body>"
+    assert html_text.content(page) == want
+
+
+def test_html_without_ratios_is_worse(table):
+    """Every page's menu, advert and footer are left out by the threshold: with all lines in one cluster they stay."""
+    from unittest import mock
+
+    pages = table("pages")["html"].tolist()
+    own = [html_text.content(h) for h in pages]
+    with mock.patch.object(html_text, "clusters", lambda lines, noise: [True] * len(lines)):
+        changed = sum(html_text.content(re.sub("</?article>", "", h)) != t for h, t in zip(pages, own, strict=True))
+    assert changed == len(pages)
+    # and without the tags of the article the ratios still find most of it
+    found = [html_text.content(re.sub("</?article>", "", h)) for h in pages]
+    assert sum(f == t for f, t in zip(found, own, strict=True)) >= 0.9 * len(pages)
 
 
 def test_html_drops_unnamed_menus_and_footers():
