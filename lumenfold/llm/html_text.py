@@ -13,7 +13,7 @@ A part whose class or id names noise is none if it holds an article, ``main`` or
 styles, titles and other content that is never shown count nowhere.
 
 Defined results: null html and pages without content have an empty text; unclosed and stray tags are borne, an open
-paragraph or item ends where the next begins; very long pages are read whole, in slices; repeated rows are pages of their own;
+paragraph or item ends where the next begins; very long pages are read whole; repeated rows are pages of their own;
 other columns are not looked at, whatever their names; null ids and urls stay null; an empty table gives an empty table.
 """
 
@@ -176,11 +176,13 @@ class _Lines(HTMLParser):
 
 
 def parsed(html: str) -> _Lines:
+    # after the last ">" no tag ends: what looks like one is text, and is not looked through again and again
+    end = html.rfind(">") + 1
+    html = html[:end] + re.sub(r"<(?=[A-Za-z/])", "&lt;", html[end:])
     for source in (html, html.replace("<!", "&lt;!")):
         parser = _Lines()
         try:
-            for at in range(0, len(source), 1 << 16):
-                parser.feed(source[at : at + (1 << 16)])
+            parser.feed(source)
             parser.close()
         except AssertionError:  # a declaration that the parser can't read; then it is taken as text
             continue

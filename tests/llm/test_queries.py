@@ -233,6 +233,7 @@ def test_html_parts():
     assert html_text.content("<article><p>a</p><div class=ad>b</div><p>c") == "a c"
     assert html_text.content(None) == html_text.content("") == html_text.content("<nav>x</nav>") == ""
     assert html_text.content("a <![bad b") != ""
+    assert len(html_text.content("abc <" * 200_000)) == 999_999 and html_text.content("<div>" * 20_000 + "x") == "x"
     assert html_text.content('<p>Intro<p class="ad">Buy<p>Second<p>Third') == "Intro Second Third"
     assert html_text.content('<div class="ad-free reader"><p>Kept text</p></div>') == "Kept text"
     assert html_text.content('<div class="share-page"><h1>T</h1><p>body text</p><div class="share">tweet</div></div>') == "T body text"
