@@ -149,8 +149,9 @@ d AS (SELECT domain, (strength * prior + bad) / (strength + n) AS mean FROM d0,
 o0 AS (SELECT host, n, bad, d.mean AS prior FROM h JOIN d ON h.domain = d.domain),
 o1 AS (SELECT sum(n * (bad / n - prior) ** 2) AS seen, sum(prior * (1 - prior)) AS chance, sum((n - 1) * prior * (1 - prior)) AS room FROM o0 WHERE n > 0),
 o2 AS (SELECT 1 / least(0.9, greatest(0.001, coalesce(CASE WHEN room > 0 THEN (seen - chance) / room ELSE 0 END, 0.001))) - 1 AS strength FROM o1),
-o AS (SELECT host, (strength * prior + bad) / (strength + n) AS mean, strength + n AS weight FROM o0, o2),
-v AS (SELECT host, CASE WHEN mean - 1.6449 * sqrt(mean * (1 - mean) / (weight + 1)) > 0.2 THEN 'block' ELSE 'allow' END AS method FROM o),
+b0 AS (SELECT host, (strength * prior + bad) / (strength + n) AS mean, strength + n AS weight FROM o0, o2),
+@BELOW@,
+v AS (SELECT host, CASE WHEN below < 0.05 THEN 'block' ELSE 'allow' END AS method FROM o),
 r AS (SELECT p.*, method, CASE
     WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
     WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
@@ -161,5 +162,11 @@ SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN method WHEN rule I
 """
 
 
+def _below() -> str:
+    columns, below = url_reputation.chance_below("mean * weight", "(1 - mean) * weight", 0.2, total="list_sum(list_transform({array}, lambda i: {f}))", array="range(0, {last} + 1)")
+    steps = [f"b{k + 1} AS (SELECT *, {expr} AS {name} FROM b{k})" for k, (name, expr) in enumerate(columns)]
+    return ",\n".join([*steps, f"o AS (SELECT host, {below} AS below FROM b{len(columns)})"])
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_top_k": TOP_K_SQL, "op8_url_filter": URL_SQL, "op10_ngram_jaccard_join": JACCARD_SQL}
+    return {"op6_exact_top_k": TOP_K_SQL, "op8_url_filter": URL_SQL.replace("@BELOW@", _below()), "op10_ngram_jaccard_join": JACCARD_SQL}

@@ -554,6 +554,38 @@ def test_urls_of_bad_hosts_are_blocked(spark):
     assert {r.verdict for r in got if r.page_id % 20 == 3} == {"block"} and {r.verdict for r in got if r.page_id % 20 != 3} == {"allow"}
 
 
+def test_chance_below_against_brute_force(spark):
+    """The beta posterior's chance against sums over a fine grid, for weak, lop-sided and strong posteriors."""
+    from pyspark.sql import functions as F
+
+    cases = [(a, b) for a in (0.02, 0.5, 1.0, 3.0, 40.0, 9000.0) for b in (0.05, 1.0, 7.0, 200.0, 30000.0)] + [(2.1e5, 8e5), (2e5, 8.01e5)]
+    columns, below = url_reputation.chance_below("a", "b", 0.2, total="aggregate({array}, 0.0D, (s, i) -> s + {f})", array="sequence(0, {last})")
+    df = spark.createDataFrame(cases, "a double, b double")
+    for name, expr in columns:
+        df = df.withColumn(name, F.expr(expr))
+    for r in df.select("a", "b", F.expr(below).alias("below")).collect():
+        top, width = np.log(r.a / r.b), np.sqrt((r.a + r.b) / (r.a * r.b))
+        edge = np.log(0.2 / 0.8)
+        u = np.unique(np.concatenate([np.linspace(top - 12 * width - 50 / r.a, top + 12 * width + 50 / r.b, 400_001), np.linspace(top - 12 * width, top + 12 * width, 400_001), [edge]]))
+        g = -r.a * np.logaddexp(0, -u) - r.b * np.logaddexp(0, u)
+        y = np.exp(g - g.max())
+        step = np.diff(u) * (y[1:] + y[:-1]) / 2
+        want = step[u[1:] <= edge].sum() / step.sum()
+        assert abs(r.below - want) < 2e-5, (r.a, r.b, r.below, want)
+
+
+def test_reputation_decides_on_labels(spark, data, table):
+    """On the shipped pages, labels that make one host bad block just that host's pages; the shipped ones, alike on all hosts, block none."""
+    pages, labels = spark.read.parquet(f"{data}/pages.parquet"), table("pages")
+    host = [re.sub(r"^.*?://([^/?#]*).*$", r"\1", u).lower() for u in labels["url"]]
+    worst = Counter(host).most_common(1)[0][0]
+    bad = [(int(i), int(h == worst)) for i, h in zip(labels["page_id"], host)] * 3
+    got = url_reputation.judge(pages, spark.createDataFrame(bad, "page_id long, bad int"), []).collect()
+    assert {r.host for r in got if r.verdict == "block"} == {worst}
+    none = url_reputation.judge(pages, spark.createDataFrame([(int(i), 0) for i in labels["page_id"]], "page_id long, bad int"), [])
+    assert none.filter("verdict = 'block'").count() == 0
+
+
 EMPTY = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "labels": "doc_id long, quality int, toxic int",
