@@ -13,8 +13,9 @@ The edited text of :func:`edited` is a document's first half and the start of an
 minimised before; only those at the seam and at the end are taken from the edited text itself.
 
 Defined results: null text is empty; two empty fingerprints are alike by 1, an empty and another by 0; repeated rows have
-each their row, and follow each other in the order of their texts' hashes; null ids come after all others; an empty table
-gives an empty table.
+each their row, and follow each other in the order of their texts' hashes; null ids come after all others; very long texts are
+read whole; other columns are not looked at, whatever their names; an empty table gives an empty table. Rows of one id are
+split over tasks by their texts' hashes; only rows with one id and one text share a task.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from lumenfold.plans.tables import cut, small
 
 K, W, SEGMENT = 8, 16, 4096
+#: Parts that rows are dealt out to at most, whatever their number.
+SEGMENTS = 1 << 17
 LOW = 4294967295
 
 
@@ -71,39 +74,66 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return rows.select("doc_id", "text", chosen("text").alias("picked"), *keep)
 
 
-def neighbours(docs: DataFrame, *, per_bucket: int = 20_000) -> DataFrame:
-    """``doc_id, text, picked, next_text, next_picked``: the next row is that of the next smaller id, after the last the first.
+def _segments(ids: DataFrame, tie_rows: int) -> DataFrame:
+    """One row of arrays that say where a row goes: ``bounds`` of ids, and of each bucket between them ``first`` and ``pieces``.
 
-    Rows are dealt out by ranges of ids, whose bounds come from all ids. The first row of every bucket is repeated, as a
-    mark, at the end of the bucket above it, so no window spans more than a bucket.
+    Bounds are quantiles of the ids; an id that is several of them has a bucket of its own, as null ids do. A bucket of one
+    id and more than ``tie_rows`` rows is cut into pieces of equal ranges of the texts' hashes. All is bounded by ``SEGMENTS``,
+    whatever the number of rows; beyond SEGMENTS * tie_rows rows, segments grow.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    session = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(session, -(-ids.count() // per_bucket))
+    spark, total = ids.sparkSession, ids.count()
+    session = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(SEGMENTS, max(session, -(-total // tie_rows)))
     shares = [i / buckets for i in range(1, buckets)]
-    bounds = ids.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] if shares else []
-    bounds = sorted({int(b) for b in bounds or []})
-    low = "array(" + ", ".join(f"{b}L" for b in bounds) + ")" if bounds else "cast(array() as array<bigint>)"
-    bucket = F.expr(f"case when doc_id is null then 0 else size(filter({low}, b -> b < doc_id)) + 1 end")
-
-    tops = ids.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("top"))
-    tops = cut(tops, "bucket-tops")  # one row a bucket
-    present = sorted((r[0] for r in tops.select("bucket").collect()), reverse=True)
-    above = {low: high for high, low in zip(present, present[1:] + present[:1], strict=True)}
-    tie = F.xxhash64("text")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    firsts = texts.join(small(tops, len(present)), texts["doc_id"].eqNullSafe(tops["top"]))
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy(tie))
-    firsts = cut(firsts.withColumn("nth", nth).filter("nth = 1").select("doc_id", "text", "bucket"), "bucket-firsts")
-    to = F.create_map(*[F.lit(x) for kv in above.items() for x in kv])[F.col("bucket")] if above else F.col("bucket")
-    marks = firsts.select("doc_id", "text", to.alias("bucket"), F.lit(1).alias("mark"))
+    bounds = (ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * buckets))).first()[0] if shares else []) or []
+    bounds = sorted({int(x) for x in bounds} | {int(x) - 1 for x, y in zip(bounds, bounds[1:], strict=False) if x == y})
+    one = spark.createDataFrame([(bounds,)], "bounds array<long>")
+    counts = ids.crossJoin(F.broadcast(one)).groupBy(_bucket().alias("bucket")).agg(F.count(F.lit(1)).alias("n"), (F.min("doc_id").eqNullSafe(F.max("doc_id"))).alias("one_id"))
+    counts = {r["bucket"]: r for r in counts.collect()}  # at most 2 * SEGMENTS rows
+    room = max(tie_rows, -(-total // SEGMENTS))
+    pieces = [max(1, -(-counts[k]["n"] // room) if k in counts and counts[k]["one_id"] else 1) for k in range(len(bounds) + 2)]
+    first, at = [0] * len(pieces), 0
+    for k in reversed(range(len(pieces))):  # large ids come first, null ids, of bucket 0, last
+        first[k], at = at, at + pieces[k]
+    return spark.createDataFrame([(bounds, first, pieces, at)], "bounds array<long>, first array<int>, pieces array<int>, segments int")
+
+
+def _bucket() -> Column:
+    """0 for null ids, else one more than the number of ``bounds`` below ``doc_id``, by halving."""
+    steps = "aggregate(sequence(20, 0, -1), 0, (k, i) -> if(k + shiftleft(1, i) <= size(bounds) and bounds[least(k + shiftleft(1, i), size(bounds)) - 1] < doc_id, k + shiftleft(1, i), k))"
+    return F.expr(f"case when doc_id is null then 0 when size(bounds) = 0 then 1 else {steps} + 1 end")
+
+
+def neighbours(docs: DataFrame, *, tie_rows: int = 4000) -> DataFrame:
+    """``doc_id, text, picked, next_text, next_picked``: the next row is that of the next smaller id, after the last the first.
+
+    Rows are dealt out by ranges of ids, whose bounds come from all ids; rows of one id by ranges of their texts' hashes. The
+    first row of every segment is repeated, as a mark, at the end of the segment before it, so no window spans more than a
+    segment.
+    """
+    where = _segments(docs.select(F.col("doc_id").cast("long").alias("doc_id")), tie_rows)
+    segments = where.first()["segments"]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    placed = texts.crossJoin(F.broadcast(where)).withColumn("bucket", _bucket())
+    # the ranges of the hash that the pieces of a bucket take
+    piece = F.expr("cast(greatest(0, least(pieces[bucket] - 1, floor((cast(tie as double) / 18446744073709551616.0D + 0.5D) * pieces[bucket]))) as int)")
+    placed = placed.withColumn("segment", F.expr("first[bucket]") + piece).select("doc_id", "text", "tie", "segment")
+
+    # each segment's first row in the order: the greatest id, nulls last, then the least hash
+    tops = placed.groupBy("segment").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", (-1 - F.col("tie")).alias("tie"))).alias("top"))
+    around = Window.orderBy("segment")  # as many rows as there are segments
+    last = F.max("segment").over(Window.partitionBy())
+    tops = cut(tops.select(F.coalesce(F.lag("segment").over(around), last).alias("to"), F.col("top.doc_id").alias("top"), (-1 - F.col("top.tie")).alias("top_tie")), "segment-tops", rows=segments)
+    same = placed["doc_id"].eqNullSafe(tops["top"]) & (placed["tie"] == tops["top_tie"])
+    marks = placed.join(small(tops, segments), same).select("doc_id", "text", "tie", F.col("to").alias("segment")).dropDuplicates(["segment"])
+    marks = cut(marks, "segment-marks", rows=segments)
 
     # only texts are dealt out; what is chosen of them comes after, so no hash is written to disk
     order = ["mark", F.col("doc_id").desc_nulls_last(), "tie"]
-    rows = texts.withColumn("bucket", bucket).withColumn("mark", F.lit(0)).unionByName(marks).withColumn("tie", tie)
-    rows = rows.repartitionById(len(bounds) + 2, F.col("bucket").cast("int")).sortWithinPartitions("bucket", *order)
-    rows = fingerprints(rows, keep=["bucket", "mark", "tie"])
-    w = Window.partitionBy("bucket").orderBy(*order)
+    rows = placed.withColumn("mark", F.lit(0)).unionByName(marks.withColumn("mark", F.lit(1)))
+    rows = rows.repartitionById(segments, "segment").sortWithinPartitions("segment", *order)
+    rows = fingerprints(rows, keep=["segment", "mark", "tie"])
+    w = Window.partitionBy("segment").orderBy(*order)
     held = rows.withColumn("next", F.lead(F.struct("text", "picked")).over(w)).filter("mark = 0")
     return held.select("doc_id", "text", "picked", F.col("next.text").alias("next_text"), F.col("next.picked").alias("next_picked"))
 

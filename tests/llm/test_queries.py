@@ -465,6 +465,18 @@ def test_winnowing(spark, data, table):
         assert np.isclose(row["near_next"], jac(hs, {h for h, _ in fp[j]}))
 
 
+@pytest.mark.parametrize("tie_rows", [1, 3, 50])
+def test_neighbours_of_hot_ids(spark, tie_rows):
+    """Rows of one id, null ids and equal rows are dealt over many segments, and each row's next is as in one sorted list."""
+    ids = [5] * 40 + [None] * 40 + [5] * 3 + list(range(100, 130)) + [-9, 2**60, 2**60 + 1]
+    rows = [(k, f"text {i % 37}" if i % 5 else None) for i, k in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text, r.next_text) for r in winnowing.neighbours(df, tie_rows=tie_rows).collect())
+    ordered = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), xxh64(r[1])))
+    want = Counter((k, t, ordered[(i + 1) % len(ordered)][1]) for i, (k, t) in enumerate(ordered))
+    assert got == want
+
+
 def test_winnowing_finds_short_shared_runs(spark):
     rng = np.random.default_rng(9)
     some = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
