@@ -1,22 +1,27 @@
 """Exact top-k by inner product: dual-tree search over cover trees.
 
-The top of both trees is shared: up to ``PIVOTS`` points of a bounded sample, spread by farthest-first traversal. Every row,
-query or data, belongs to the cell of its nearest pivot; a cell has a centre (the pivot) and a covering radius over all its
-rows, apart for queries and data. Below a cell, each task builds the rest of both trees over the rows that it holds.
+A node of a cover tree is a point of its own at a level ``l``: all its rows lie within ``2 ** l`` of it (covering), its
+children at the next level are itself (nesting) and others more than ``2 ** (l - 1)`` from it and each other (separation),
+until each of its rows lies that near to a child. Levels at which a node would be its only child are left out. A node of
+few rows, or one whose rows lie so far from each other that it would have more than ``FAN`` children, or half as many as rows,
+holds its rows itself.
 
-For a query node with centre ``q`` and radius ``r`` and a data node with centre ``d`` and radius ``s``, no inner product
+For a query node at ``q`` with radius ``r`` and a data node at ``d`` with radius ``s``, no inner product
 exceeds ``q.d + r|d| + s|q| + rs``. Pairs of nodes are searched best bound first and dropped if that is below the worst k-th
-score of the query node's queries. First each query meets its own cell; its k-th score there is a bound that goes with it to
-the other cells, and pairs of cells below their group's worst bound are never formed.
+score of the query node's queries.
 
-A data cell is dealt out in blocks of about ``BLOCK`` rows by a hash, so a cell that holds a third of all vectors is many
-tasks; queries are dealt out in shares of ``SHARE``, so a task holds a bounded number of both. Only the k best of a block
-leave it.
+The top of both trees is shared by all tasks: up to ``PIVOTS`` points of a bounded sample, spread by farthest-first traversal.
+Every row, query or data, belongs to the cell of its nearest pivot, with a covering radius over all its rows, apart for
+queries and data. Cells that are near each other share a block of data, or a share of queries, of up to ``ROWS`` rows; a
+larger cell is dealt out by a hash over several, so a cell that holds a third of all vectors is many tasks. First each query
+meets one block of its own cell; its k-th score there is a bound that goes with it, and pairs of cells below their group's
+worst bound are never formed: data go only to the shares, and queries only to the blocks, of cells that are left. What a
+task finds below a query's bound stays there.
 
-Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors are padded with
+Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without an id; shorter vectors are padded with
 zeros to the longest; a row is never its own candidate, nor is another row of the same id; repeated rows of other ids are
-candidates each on its own, repeated queries of one id have one answer (that of the first vector in order); fewer than k
-candidates give fewer rows; an empty table gives an empty table. Products are exact while they stay below 2^53.
+candidates each on its own, repeated queries of one id have one answer (that of the first vector in order); equal scores rank by the smaller id; fewer than k
+candidates give fewer rows; other columns are not looked at, whatever their names; an empty table gives an empty table. Products are exact while they stay below 2^53.
 """
 
 from __future__ import annotations
@@ -31,97 +36,135 @@ from pyspark.sql import functions as F
 
 from lumenfold.plans.tables import cut
 
-PIVOTS, SAMPLE, BLOCK, SHARE, LEAF, FAN = 256, 4096, 4096, 16384, 128, 6
-ROWS = "vec_id long, query boolean, cell int, far double, salt int, v binary"
+PIVOTS, SAMPLE, ROWS, LEAF, FAN, WIDTH = 256, 4096, 65_536, 32, 96, 1024
 
 
 def _stack(blobs: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(b, "<f8") for b in blobs]) if len(blobs) else np.zeros((0, 0))
 
 
-def spread_points(x: np.ndarray, n: int, radius: float = 0.0) -> np.ndarray:
-    """Places of up to ``n`` rows by farthest-first traversal; stops once all lie within ``radius`` of a chosen one."""
-    chosen = [0]
-    near = np.linalg.norm(x - x[0], axis=1)
+def spread_points(x: np.ndarray, n: int, first: int = 0, radius: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of up to ``n`` rows by farthest-first traversal, until all lie within ``radius`` of one; each row's nearest of them, and how far."""
+    chosen = [first]
+    near, owner = np.linalg.norm(x - x[first], axis=1), np.zeros(len(x), np.int64)
     while len(chosen) < min(n, len(x)):
         far = int(near.argmax())
         if near[far] <= radius:
             break
+        away = np.linalg.norm(x - x[far], axis=1)
+        closer = away < near
+        near, owner = np.where(closer, away, near), np.where(closer, len(chosen), owner)
         chosen.append(far)
-        near = np.minimum(near, np.linalg.norm(x - x[far], axis=1))
-    return np.array(chosen)
+    return np.array(chosen), owner, near
 
 
 class Node:
-    """A cover tree's node: ``rows`` within ``radius`` of ``centre``; each level's cover is the next one's children."""
+    """A cover tree's node: the row ``centre``, its ``level``, all ``rows`` below it and the ``radius`` that they reach."""
 
-    __slots__ = ("centre", "children", "norm", "radius", "rows")
+    __slots__ = ("centre", "children", "level", "norm", "radius", "rows")
+
+    def __init__(self, x: np.ndarray, rows: np.ndarray, centre: int, away: np.ndarray, leaf: int = LEAF) -> None:
+        self.centre, self.rows, self.radius, self.children = centre, rows, float(away.max()), []
+        self.norm = float(np.linalg.norm(x[centre]))
+        self.level = math.ceil(math.log2(self.radius)) if self.radius > 0 else -math.inf
+        if len(rows) <= leaf or self.radius == 0:
+            return
+        most = min(FAN, len(rows) // 2)
+        own, cover = x[rows], 2.0 ** (self.level - 1)
+        at, owner, near = spread_points(own, most, int(np.flatnonzero(rows == centre)[0]), cover)
+        if near.max() > cover or len(at) < 2:
+            return
+        order = np.argsort(owner, kind="stable")
+        edges = np.searchsorted(owner[order], np.arange(len(at) + 1))
+        for i, c in enumerate(at.tolist()):
+            mine = order[edges[i] : edges[i + 1]]
+            self.children.append(Node(x, rows[mine], int(rows[c]), near[mine], leaf))
 
-    def __init__(self, x: np.ndarray, rows: np.ndarray, leaf: int) -> None:
-        own = x[rows]
-        self.centre = own[0] if len(own) == 1 else own.mean(axis=0)
-        away = np.linalg.norm(own - self.centre, axis=1)
-        self.radius, self.norm = float(away.max()), float(np.linalg.norm(self.centre))
-        self.rows, self.children = rows, []
-        if len(rows) > leaf and self.radius > 0:
-            at = spread_points(own, FAN, self.radius / 2)
-            to = np.stack([np.linalg.norm(own - own[a], axis=1) for a in at]).argmin(axis=0)
-            if len(at) > 1:
-                self.children = [Node(x, rows[to == i], leaf) for i in range(len(at)) if (to == i).any()]
 
+def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
+    """The tree of all rows; its root is the row nearest to their mean."""
+    centre = int(np.linalg.norm(x - x.mean(axis=0), axis=1).argmin())
+    return Node(x, np.arange(len(x)), centre, np.linalg.norm(x - x[centre], axis=1), leaf)
 
-def bound(q: Node, d: Node) -> float:
-    """No inner product of the two nodes' rows is above; with room for rounding."""
-    b = float(q.centre @ d.centre) + q.radius * d.norm + d.radius * q.norm + q.radius * d.radius
-    return b + 1e-9 * (abs(b) + (q.norm + q.radius) * (d.norm + d.radius)) + 1e-9
 
+def bounds(x: np.ndarray, a: Node, y: np.ndarray, nodes: list[Node]) -> np.ndarray:
+    """No inner product of the rows of ``a`` with those of each node is above; with room for rounding."""
+    norm, radius = np.array([b.norm for b in nodes]), np.array([b.radius for b in nodes])
+    value = y[[b.centre for b in nodes]] @ x[a.centre] + a.radius * norm + radius * a.norm + a.radius * radius
+    return value + 1e-9 * (np.abs(value) + (a.norm + a.radius) * (norm + radius)) + 1e-9
 
-def dual_search(q: np.ndarray, q_ids: np.ndarray, least: np.ndarray, d: np.ndarray, d_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+
+def dual_search(q: np.ndarray, q_ids: np.ndarray, least: np.ndarray, d: np.ndarray, d_ids: np.ndarray, k: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
     """Scores and ids of each query's k best of ``d``, best first, ties by id; nothing below ``least`` need be found.
 
     Absent places have a score of -inf.
     """
-    top = np.full((len(q), k), -np.inf)
-    ids = np.full((len(q), k), np.iinfo(np.int64).max)
+    none = np.iinfo(np.int64).max
+    top, ids = np.full((len(q), k), -np.inf), np.full((len(q), k), none)
     if not len(q) or not len(d):
         return top, ids
     kth = least.copy()
 
     def meet(a: np.ndarray, b: np.ndarray) -> None:
+        """A block of the product: only scores that reach a query's k-th are looked at."""
         s = q[a] @ d[b].T
-        s[q_ids[a][:, None] == d_ids[b][None, :]] = -np.inf
-        if not (s >= kth[a][:, None]).any():
+        floor = kth[a]
+        if len(b) > k + 1 and np.isneginf(floor).any():  # k others and the row itself reach this
+            floor = np.maximum(floor, np.partition(s, len(b) - k - 1, axis=1)[:, len(b) - k - 1])
+        i, j = np.nonzero(s >= floor[:, None])
+        other = q_ids[a[i]] != d_ids[b[j]]
+        i, j = i[other], j[other]
+        if not len(i):
             return
-        if s.shape[1] > 4 * k:  # the k best and all that tie with the last of them
-            cutoff = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-            keep = (s >= cutoff[:, None]).any(axis=0)
-            s, b = s[:, keep], b[keep]
-        s = np.concatenate([top[a], s], axis=1)
-        i = np.concatenate([ids[a], np.broadcast_to(d_ids[b], (len(a), len(b)))], axis=1)
-        i = np.where(np.isneginf(s), np.iinfo(np.int64).max, i)
-        order = np.argsort(i, axis=1, kind="stable")
-        s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        top[a], ids[a] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        kth[a] = np.maximum(kth[a], top[a][:, -1])
+        rows, new = np.unique(i, return_inverse=True)
+        row = np.concatenate([new, np.repeat(np.arange(len(rows)), k)])
+        score, name = np.concatenate([s[i, j], top[a[rows]].ravel()]), np.concatenate([d_ids[b[j]], ids[a[rows]].ravel()])
+        order = np.lexsort((name, -score, row))
+        row, score, name = row[order], score[order], name[order]
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(rows)))[row]
+        best = place < k
+        top[a[rows[row[best]]], place[best]] = score[best]
+        ids[a[rows[row[best]]], place[best]] = name[best]
+        kth[a[rows]] = np.maximum(kth[a[rows]], top[a[rows], -1])
 
     def search(a: Node, nodes: list[Node]) -> None:
         """All data ``nodes`` for the query node ``a``: they split together."""
-        for value, b in sorted(((bound(a, b), b) for b in nodes), key=lambda x: -x[0]):
-            if value < kth[a.rows].min():
+        value = bounds(q, a, d, nodes)
+        for n in np.argsort(-value, kind="stable"):
+            b = nodes[n]
+            if value[n] < kth[a.rows].min():
                 break
             if not a.children and not b.children:
-                meet(a.rows, b.rows)
+                for lo in range(0, len(a.rows), WIDTH):
+                    for to in range(0, len(b.rows), WIDTH):
+                        meet(a.rows[lo : lo + WIDTH], b.rows[to : to + WIDTH])
             elif a.children and (not b.children or a.radius >= b.radius):
                 for child in a.children:
                     search(child, [b])
             else:
                 search(a, b.children)
 
-    search(Node(q, np.arange(len(q)), LEAF), [Node(d, np.arange(len(d)), LEAF)])
+    search(cover_tree(q, leaf), [cover_tree(d, leaf)])
     return top, ids
 
 
+def _dealt(sizes: dict[int, int], order: list[int], rows: int) -> dict[int, tuple[int, int]]:
+    """For each cell the first of the parts that it is dealt to, and to how many: small cells share one, in ``order``."""
+    out, part, held = {}, 0, 0
+    for c in order:
+        n = sizes.get(c, 0)
+        if n > rows:
+            part, held = part + (held > 0), 0
+            out[c] = (part, math.ceil(n / rows))
+            part += out[c][1]
+            continue
+        if held + n > rows:
+            part, held = part + 1, 0
+        out[c] = (part, 1)
+        held += n
+    return out
+
+
 def _prepared(vectors: DataFrame, vec_id: str, embedding: str, scale: float, every: int) -> tuple[DataFrame, int]:
     """``vec_id, query, v``: whole-number components as bytes; rows that take no part are gone."""
     x = F.col("_x")
@@ -153,7 +196,7 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: float = 6
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     x = _stack(sample)
-    pivots = x[spread_points(x, max(1, min(PIVOTS, n // 1024)))]
+    pivots = x[spread_points(x, max(1, min(PIVOTS, n // LEAF)))[0]]
     norms = (pivots**2).sum(axis=1)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,50 +214,61 @@ def search(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: float = 6
         F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.max(F.when(F.col("query"), F.col("far"))).alias("q_far"), F.count(F.when(F.col("query"), 1)).alias("q_n")
     )
     stats = {r["cell"]: r for r in stats.collect()}
-    salts = {c: math.ceil(r["n"] / BLOCK) for c, r in stats.items()}
-    shares = max(1, math.ceil(sum(r["q_n"] for r in stats.values()) / SHARE))
-
-    def by_cell(values: dict[int, int]) -> F.Column:
-        return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("to")]
-
-    data = placed.withColumn("salt", F.pmod(F.xxhash64("vec_id", "v"), F.create_map(*[F.lit(x) for kv in salts.items() for x in kv])[F.col("cell")]).cast("int"))
-    data = data.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).select(F.col("cell").alias("to"), "salt", "share", "vec_id", "v")
-    first = F.row_number().over(Window.partitionBy("vec_id").orderBy("v"))
-    queries = placed.filter("query").withColumn("nth", first).filter("nth = 1")
-    queries = queries.select("vec_id", "cell", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shares)).cast("int").alias("share"))
-
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0, "int64")})
+    # cells in a chain, each followed by the nearest that is left
+    chain, left = [], set(stats)
+    while left:
+        c = min(left, key=lambda c: (float(np.linalg.norm(pivots[c] - pivots[chain[-1]])) if chain else 0.0, c))
+        chain.append(c)
+        left.remove(c)
+    each = min(ROWS, max(LEAF, math.ceil(n / int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    blocks = _dealt({c: r["n"] for c, r in stats.items()}, chain, each)
+    shares = _dealt({c: r["q_n"] for c, r in stats.items()}, chain, ROWS)
+
+    def part(of: dict[int, tuple[int, int]], *key: F.Column | str) -> F.Column:
+        """The part that a row of ``cell`` is dealt to; at most PIVOTS entries."""
+        at = lambda i: F.create_map(*[F.lit(x) for c, p in of.items() for x in (c, p[i])])[F.col("cell")]
+        return (at(0) + F.pmod(F.xxhash64(*key), at(1))).cast("int")
+
+    data = placed.select("cell", part(blocks, "vec_id", "v").alias("block"), "vec_id", "v")
+    # rows of one id are one query, that of the first vector
+    queries = placed.filter("query").groupBy("vec_id").agg(F.min(F.struct("v", "cell")).alias("first")).select("vec_id", "first.v", "first.cell")
+
+    def first_bound(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        q, ids = _stack(left["v"].tolist()), left["vec_id"].to_numpy("int64")
+        top, _ = dual_search(q, ids, np.full(len(ids), -np.inf), _stack(right["v"].tolist()), right["vec_id"].to_numpy("int64"), k)
+        return pd.DataFrame({"vec_id": ids, "cell": left["cell"].to_numpy("int32"), "least": top[:, -1] if len(ids) else np.zeros(0), "v": left["v"]})
+
+    own = queries.withColumn("block", part(blocks, "vec_id")).groupBy("block").cogroup(data.groupBy("block"))
+    bounded = cut(own.applyInPandas(first_bound, "vec_id long, cell int, least double, v binary"), "bounded")
+    worst = {r["cell"]: r["least"] for r in bounded.groupBy("cell").agg(F.min("least").alias("least")).collect()}  # at most PIVOTS rows
+    length = np.sqrt(norms)
+    to_blocks: dict[int, set[tuple[int, int]]] = {}
+    to_shares: dict[int, set[tuple[int, int]]] = {}
+    for c, least in worst.items():
+        r = stats[c]["q_far"]
+        for d, s in stats.items():
+            b = pivots[c] @ pivots[d] + r * length[d] + s["far"] * length[c] + r * s["far"]
+            if b + 1e-6 * (1 + abs(b)) >= least:
+                to_blocks.setdefault(c, set()).add(blocks[d])
+                to_shares.setdefault(d, set()).add(shares[c])
+
+    def sent(df: DataFrame, to: dict[int, set[tuple[int, int]]], name: str) -> DataFrame:
+        """Rows with each part that their cell meets; at most PIVOTS squared entries in all, an array for each cell."""
+        lists = spark.createDataFrame([(c, sorted(p)) for c, p in to.items()], "cell int, _to array<struct<at:int,n:int>>")
+        far = df.join(F.broadcast(lists), "cell").withColumn("_p", F.explode("_to"))
+        return far.withColumn(name, F.explode(F.expr("sequence(_p.at, _p.at + _p.n - 1)"))).drop("_to", "_p", "cell")
+
+    def found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return empty
+            return pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0, "int64")})
         q_ids, least = left["vec_id"].to_numpy("int64"), left["least"].to_numpy("float64")
         top, ids = dual_search(_stack(left["v"].tolist()), q_ids, least, _stack(right["v"].tolist()), right["vec_id"].to_numpy("int64"), k)
         kept = np.isfinite(top) & (top >= least[:, None])  # what is below the bound isn't among the k best
         at = np.nonzero(kept)[0]
         return pd.DataFrame({"query_id": q_ids[at], "vec_id": ids[kept], "score": top[kept].astype("int64")})
 
-    def met(asked: DataFrame) -> DataFrame:
-        """The best of every block for the queries ``asked`` (with ``to``, the cells that they go to)."""
-        asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), by_cell(salts) - 1)))
-        keys = ["to", "salt", "share"]
-        return asked.select(*keys, "vec_id", "v", "least").groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(block, answer)
-
-    own = cut(met(queries.withColumn("to", F.col("cell")).withColumn("least", F.lit(float("-inf")))), "own")
+    asked = sent(bounded.withColumn("share", part(shares, "vec_id")), to_blocks, "block")
+    met = asked.groupBy("share", "block").cogroup(sent(data, to_shares, "share").groupBy("share", "block")).applyInPandas(found, answer)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    kth = own.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("least"))
-    bounded = cut(queries.join(kth, "vec_id", "left").fillna(float("-inf"), ["least"]), "bounded")
-    worst = {r["cell"]: r["least"] for r in bounded.groupBy("cell").agg(F.min("least").alias("least")).collect()}  # at most PIVOTS rows
-    length = np.sqrt(norms)
-    near = {}
-    for c, least in worst.items():
-        r = stats[c]["q_far"]
-        value = {d: pivots[c] @ pivots[d] + r * length[d] + s["far"] * length[c] + r * s["far"] for d, s in stats.items() if d != c}
-        near[c] = [d for d, b in value.items() if b + 1e-6 * (1 + abs(b)) >= least]
-    pairs = [(c, d) for c, ds in near.items() for d in ds]  # at most PIVOTS squared
-    if not pairs:
-        found = own
-    else:
-        to = spark.createDataFrame(pairs, "cell int, to int")
-        found = own.unionByName(met(bounded.join(F.broadcast(to), "cell")))
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -508,6 +508,45 @@ def test_top_k_against_brute_force(spark):
     assert len(got) == 120
 
 
+def test_cover_tree_invariants():
+    rng = np.random.default_rng(7)
+    x = np.floor(64 * (np.repeat(rng.normal(size=(30, 6)), 50, axis=0) + 0.1 * rng.normal(size=(1500, 6))))
+    x[100:400] = x[100]
+    nodes, levels = [topk.cover_tree(x, leaf=8)], 0
+    assert sorted(nodes[0].rows) == list(range(1500))
+    while nodes:
+        levels += 1
+        for n in nodes:
+            away = np.linalg.norm(x[n.rows] - x[n.centre], axis=1)
+            assert n.centre in n.rows and np.isclose(away.max(), n.radius) and n.radius <= 2.0**n.level  # covering
+            if n.children:
+                at = x[[c.centre for c in n.children]]
+                apart = np.linalg.norm(at[:, None] - at[None], axis=2)[np.triu_indices(len(at), 1)]
+                assert n.centre == n.children[0].centre and apart.min() > 2.0 ** (n.level - 1)  # nesting, separation
+                assert all(c.radius <= 2.0 ** (n.level - 1) and c.level < n.level for c in n.children)
+                assert sorted(np.concatenate([c.rows for c in n.children])) == sorted(n.rows)
+        nodes = [c for n in nodes for c in n.children]
+    assert levels >= 4
+
+
+def test_dual_search_prunes():
+    """Pairs of far nodes are never multiplied, and the answer is that of all products."""
+    from unittest import mock
+
+    rng = np.random.default_rng(5)
+    x = np.floor(64 * (np.repeat(rng.normal(size=(60, 8)) * 3, 50, axis=0) + 0.05 * rng.normal(size=(3000, 8))))
+    q = x[::20]
+    done = []
+    real = topk.np.nonzero
+    with mock.patch.object(topk.np, "nonzero", lambda m: done.append(m.size) or real(m)):
+        top, ids = topk.dual_search(q, np.arange(0, 3000, 20), np.full(len(q), -np.inf), x, np.arange(3000), 5)
+    for i in range(len(q)):
+        s = x @ q[i]
+        want = sorted((-v, j) for j, v in enumerate(s.tolist()) if j != 20 * i)[:5]
+        assert [(-v, j) for v, j in zip(top[i].tolist(), ids[i].tolist(), strict=True)] == want
+    assert sum(done) < 0.5 * len(q) * len(x)
+
+
 def brute_links(texts, n, percent):
     sets = []
     for t in texts:
