@@ -275,7 +275,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
                 texts = [content(h) for h in part["html"]]
-                yield pd.DataFrame({"page_id": part["page_id"].astype("Int64"), "url": part["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+                yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    named = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    return named.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    named = pages.select(F.col(page_id).cast("long").cast("string").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
+    return named.mapInPandas(run, "page_id string, url string, text string, n_chars long").withColumn("page_id", F.col("page_id").cast("long"))

@@ -120,8 +120,8 @@ def _shared_columns(docs: DataFrame, blocks: int, n: int, percent: int) -> DataF
             return pd.DataFrame(rows, columns=["block", "batch", "ids", "a", "b"])
 
         for b in batches:
-            for key, t in zip(b["doc_id"].astype("object"), b["text"], strict=True):
-                ids.append(None if pd.isna(key) else int(key))
+            for key, t in zip(b["doc_id"], b["text"], strict=True):
+                ids.append(key)
                 sets.append(ngrams(t, n, words))
                 held += len(sets[-1])
                 # counts of a document in a block are of 16 bits
@@ -177,9 +177,9 @@ def _shared_columns(docs: DataFrame, blocks: int, n: int, percent: int) -> DataF
         whole = {c: pd.array([r[i] for r in rows], "Int64") for i, c in enumerate(("node", "size"))}
         return pd.DataFrame(whole | {c: pd.Series([r[i + 2] for r in rows], dtype="object") for i, c in enumerate(("grams", "ids", "nodes", "sizes"))})
 
-    rows = docs.mapInPandas(out, "block int, batch string, ids array<bigint>, a binary, b binary")
-    counted = rows.groupBy("block").applyInPandas(count, "batch string, ids array<bigint>, a binary, b binary, c binary")
-    return counted.groupBy("batch").applyInPandas(gather, "node long, size long, grams binary, ids array<bigint>, nodes binary, sizes binary")
+    rows = docs.mapInPandas(out, "block int, batch string, ids array<string>, a binary, b binary")
+    counted = rows.groupBy("block").applyInPandas(count, "batch string, ids array<string>, a binary, b binary, c binary")
+    return counted.groupBy("batch").applyInPandas(gather, "node long, size long, grams binary, ids array<string>, nodes binary, sizes binary")
 
 
 def _sets(named: DataFrame) -> DataFrame:
@@ -188,10 +188,9 @@ def _sets(named: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for ids, nodes, sizes in zip(b["ids"], b["nodes"], b["sizes"], strict=True):
-                key = pd.array([None if pd.isna(i) else int(i) for i in ids], "Int64")
-                yield pd.DataFrame({"doc_id": key, "node": np.frombuffer(nodes, "<i8"), "size": np.frombuffer(sizes, "<u4").astype("int64")})
+                yield pd.DataFrame({"doc_id": list(ids), "node": np.frombuffer(nodes, "<i8"), "size": np.frombuffer(sizes, "<u4").astype("int64")})
 
-    return named.filter("ids IS NOT NULL").select("ids", "nodes", "sizes").mapInPandas(run, "doc_id long, node long, size long")
+    return named.filter("ids IS NOT NULL").select("ids", "nodes", "sizes").mapInPandas(run, "doc_id string, node long, size long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _chains(rows: DataFrame, percent: int, blocks: int) -> DataFrame:
@@ -320,7 +319,8 @@ def _links(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 def link(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id`` of every row; ``class_id`` is that of rows with an equal set."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # ids travel as text: in pandas whole numbers beside nulls would become floats
+    rows = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # a word has some five characters; fewer than 32 blocks don't fit the width of what is sent
     blocks = max(32, parts(spark, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5, COLUMNS))
     both = cut(_shared_columns(rows, blocks, n, percent), "shared")

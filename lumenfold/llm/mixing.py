@@ -132,8 +132,8 @@ def mix_sizes(sizes: DataFrame, *, seed: int = 7, chunk: int = CHUNK, **how) ->
         chunks = F.ceil(F.col("documents") / chunk)
         named = [F.col("doc_id"), F.col("size"), F.col("nth")]
         keyed = rest.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), *named), chunks)).withColumn("bits", F.xxhash64(*named, F.lit(level), F.lit(seed)))
-        keyed = keyed.withColumn("last", F.col("documents") <= chunk).drop("documents")
-        settled = cut(keyed.groupBy("source", "chunk").applyInPandas(_chunk, "doc_id long, nth long, source string, size long, copies long, part double"), f"level{level}", rows=number)
+        keyed = keyed.withColumn("last", F.col("documents") <= chunk).withColumn("doc_id", F.col("doc_id").cast("string")).drop("documents")
+        settled = cut(keyed.groupBy("source", "chunk").applyInPandas(_chunk, "doc_id string, nth long, source string, size long, copies long, part double").withColumn("doc_id", F.col("doc_id").cast("long")), f"level{level}", rows=number)
         done.append(settled.filter("part = 0").select("doc_id", "source", "size", "copies"))
         left = settled.filter("part > 0")
         counts = left.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))

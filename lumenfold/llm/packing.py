@@ -10,7 +10,8 @@ rows, however large the corpus) and gets segments "the pieces of length L with r
 sequences from b at offset o". Ranks come from counts per (length, hash bucket), so no length meets in one task.
 
 Defined results: null text counts as empty; an empty text is the end id alone; repeated rows are packed as rows of their
-own; ties between equal rows are broken by id, piece and checksum; an empty table gives an empty table.
+own; ties between equal rows are broken by id, piece and checksum; null ids stay null and large ids exact; very long texts
+are tokenized whole; other columns are not looked at, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.llm.whole import as_text, kinds, restored
 from lumenfold.plans.tables import cut, parts
 
 #: Pieces of a (length, bucket) group that one window task sorts.
@@ -34,7 +36,7 @@ BUCKET_ROWS = 50_000
 #: any other text goes through the tokenizer file itself.
 _SAME = re.compile(r"[\x00-\u2fff]*")
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 def _encoder(tokenizer_path: str, ranks_path: str | None, pattern: str | None):
@@ -93,12 +95,10 @@ def token_pieces(
                         row = (key, n, a, b - a, zlib.crc32(ids[a:b].tobytes()))
                         rows.append((*row, ids[a:b].astype("int64").tolist()) if keep_ids else row)
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-                out = pd.DataFrame(rows, columns=names)
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                yield pd.DataFrame(rows, columns=names)
 
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return named.mapInPandas(run, PIECES + ", ids array<long>" * keep_ids)
+    named = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return named.mapInPandas(run, PIECES + ", ids array<long>" * keep_ids).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def plan(
@@ -202,11 +202,14 @@ def pack(
             yield b[names]
 
     names = [*pieces.columns, "sequence_id", "offset"]
-    kept = ranked.select(*pieces.columns, "_key")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return kept.mapInPandas(place, f"{kinds}, sequence_id long, offset long")
+    kept = as_text(ranked.withColumn("_key", F.col("_key").cast("decimal(38,0)")).select(*pieces.columns, "_key")).withColumn("_key", F.col("_key").cast("long"))
+    return restored(kept.mapInPandas(place, f"{kinds(pieces)}, sequence_id long, offset long"), pieces)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, **how) -> DataFrame:
-    """Tokenize, cut and pack ``docs``; the pieces are written once, without their texts."""
-    return pack(cut(token_pieces(docs, tokenizer_path, capacity=capacity, **how), "pieces"), tokens=capacity, documents=capacity, attention=capacity * capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, documents: int | None = None, attention: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.01, 0.01), **how) -> DataFrame:
+    """Tokenize, cut and pack ``docs``; the pieces are written once, without their texts.
+
+    Without ``documents`` and ``attention`` these two capacities are what ``capacity`` tokens allow anyway, for the fewest sequences.
+    """
+    pieces = cut(token_pieces(docs, tokenizer_path, capacity=capacity, **how), "pieces")
+    return pack(pieces, tokens=capacity, documents=documents or capacity, attention=attention or capacity * capacity, rule=rule, weights=weights)

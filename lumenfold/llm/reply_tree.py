@@ -129,8 +129,8 @@ def digests(formatted: DataFrame) -> DataFrame:
                 said = "".join(f"{role}\n{body}\n" for role, body in turns)
                 learned = unescape("".join(text[s[0] : s[1]] for s in spans))
                 rows.append((tree, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(text)))
-            out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-            out["conv_id"] = out["conv_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    named = formatted.withColumn("tree", F.col("tree").cast("string"))
+    done = named.mapInPandas(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return done.withColumn("conv_id", F.col("conv_id").cast("long"))

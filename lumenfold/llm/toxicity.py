@@ -38,6 +38,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.llm.whole import as_text, kinds, restored
+
 DECAY, SPAN, WINDOW, STEP = 0.6, 8, 20, 10
 SYMBOLS, START = 65, 64
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 20_000_000
@@ -295,7 +297,8 @@ def train(texts: list[str], toxic: list[int], *, seed: int = 7) -> dict:
         return none
     cache: dict[str, float] = {}
     x = np.concatenate([doc_features([units(t) for t in texts[i : i + 256]], model["table"], model["bias"], cache) for i in range(0, len(texts), 256)])
-    model["curve"] = _logistic(x, y)
+    told = x[:, -1] > 0  # a text without units tells nothing about the score of others
+    model["curve"] = _logistic(x[told], y[told]) if (y[told] == 1).any() and (y[told] == 0).any() else _logistic(x, y)
     model["table"] = model["table"].astype(np.float32)
     return model
 
@@ -361,5 +364,4 @@ def score(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: str = "
                 yield out
 
     rows = docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return rows.mapInPandas(run, f"{kinds}, score double")
+    return restored(as_text(rows).mapInPandas(run, f"{kinds(docs.select(*names))}, score double"), docs.select(*names))
