@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lumenfold.llm import jaccard_join, mixing, packing, queries, secret_scan, toxicity
 from lumenfold.plans.tables import cut
 
+#: Pieces of documents that a sequence holds at most, so that few of its tokens follow a boundary.
+SEQUENCE_DOCUMENTS = 16
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -55,8 +57,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their place in sequences of 1024."""
-    return packing.pack_documents(docs, capacity=1024, **queries.tokenizer())
+    """Token pieces with their place in sequences of 1024 tokens, of ``SEQUENCE_DOCUMENTS`` documents at most."""
+    return packing.pack_documents(docs, capacity=1024, documents=SEQUENCE_DOCUMENTS, weights=(1.0, 0.1, 0.1), **queries.tokenizer())
 
 
 STAGES = [("toxicity", drop_toxic), ("near duplicates", drop_near_copies), ("secrets", mask_secrets), ("mixing", mix_sources), ("packing", pack)]
