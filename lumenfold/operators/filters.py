@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.geometry import Camera, unit
+from lumenfold.operators.selection import numbered
 
 
 def select_species(df: DataFrame, species: list[str], column: str = "species") -> DataFrame:
@@ -52,8 +53,7 @@ def cone_reduce(df: DataFrame, normals: list[tuple[float, float, float]]) -> Dat
 
 def every_kth(df: DataFrame, k: int, order: list[str], by: list[str]) -> DataFrame:
     """A systematic sample: of each group in its order, rows 1, k + 1, ..."""
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_nth", nth).filter((F.col("_nth") - 1) % k == 0).drop("_nth")
+    return numbered(df, [F.asc(c) for c in order], by, "_nth").filter((F.col("_nth") - 1) % k == 0).drop("_nth")
 
 
 def box(df: DataFrame, low: tuple[float, float, float], high: tuple[float, float, float]) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.operators.selection import numbered
+
 
 def grid(df: DataFrame, *, per_cell: float = 5.0, most: int = 32) -> DataFrame:
     """``cell`` of every row: a box padded by 1 %, cells of ``per_cell`` mean spacings, at most ``most`` an axis.
@@ -45,10 +47,15 @@ def weights(cells: DataFrame, *, diagonal: float, quality: float, fov: float, di
 
 
 def stratified(df: DataFrame, share: Column | float, order: list[Column]) -> DataFrame:
-    """The first ``floor(share * n)`` of every cell in ``order``, a hash or an arithmetic key, and how much brighter they are to be."""
-    w = Window.partitionBy("cell")
-    ranked = df.withColumn("_nth", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.filter(F.col("_nth") <= F.floor(share * F.col("_n"))).drop("_nth", "_n")
+    """The first ``floor(share * n)`` of every cell in ``order``, a hash or an arithmetic key, and ``boost``: how much brighter
+    each is to be, so that a cell stays as bright as all its ``n`` rows are."""
+    counts = df.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.floor(share * F.col("_n")))
+    return numbered(df, order, ["cell"], "_nth").join(counts, "cell").filter(F.col("_nth") <= F.col("_k")).select(*df.columns, (F.col("_n") / F.col("_k")).alias("boost"))
+
+
+def boosted(df: DataFrame) -> DataFrame:
+    """Intensities of a sample times its ``boost``."""
+    return df.withColumn("i", F.col("i") * F.col("boost")).drop("boost")
 
 
 def octave(r: Column, smallest: float) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.scalar import asinh, log10_or, norm_and_clamp
+from lumenfold.plans.tables import cut, small
 
 
 def known(c: str) -> F.Column:
@@ -39,17 +40,19 @@ def transformed(df: DataFrame, *, log: list[str] = (), arsinh: list[str] = ()) -
     return df.withColumns({c: log10_or(F.col(c)) for c in log} | {c: asinh(F.col(c)) for c in arsinh if c not in log})
 
 
-def normalised(df: DataFrame, fields: list[str] = ("i", "e"), *, log: list[str] = (), arsinh: list[str] = (), limits: dict[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
-    """Fields over their type's range, clamped to 0..1; ``limits`` replace a range's ends.
+def normalised(df: DataFrame, fields: list[str] = ("i", "e"), *, log: list[str] = (), arsinh: list[str] = (), limits: dict[str, tuple[float | None, float | None]] | None = None, of: DataFrame | None = None) -> DataFrame:
+    """Fields over their type's range, clamped to 0..1; ``limits`` replace a range's ends; null is a type like others.
 
-    Ranges are one row a type, summed up in the map tasks and joined back as a broadcast: types are slots, at most 16.
+    Ranges are one row a type, summed up in the map tasks and written; they are broadcast if they are few. ``of`` has the
+    same rows as ``df`` where these are dealt anew, so that only one of the two readings is.
     """
     limits = limits or {}
-    after = transformed(df, log=log, arsinh=arsinh)
+    ranged = transformed(of or df, log=log, arsinh=arsinh)
     # what has no logarithm takes no part in a range
-    ranged = after.withColumns({c: F.when(F.col(c) > -38.0, F.col(c)) for c in log}) if log else after
-    spans = by_type(ranged, list(fields))
-    joined = after.join(F.broadcast(spans), "type")
+    ranged = ranged.withColumns({c: F.when(F.col(c) > -38.0, F.col(c)) for c in log}) if log else ranged
+    spans = cut(by_type(ranged, list(fields)).withColumnRenamed("type", "_type"), "spans", rows=1)
+    after = transformed(df, log=log, arsinh=arsinh)
+    joined = after.join(small(spans, spans.count()), F.col("type").eqNullSafe(F.col("_type"))).drop("_type")
     out = {}
     for c in fields:
         low, high = limits.get(c, (None, None))

@@ -1,7 +1,8 @@
 """Ray renderer: particles as discs on the unit sphere, pixels as directions; flat and dome projections.
 
-Each particle is exploded to the blocks of pixels that its disc may touch; a block is one task's numpy, so no pair of a
-particle and a far pixel is formed.
+Emission adds up, so every task draws its own particles into an image of its own and only these images' pixels meet in a
+sum: no particle travels, whatever the size of the image or of a group. Within a task particles are sorted into blocks of
+pixels that their discs may touch, so no pair of a particle and a far pixel is formed.
 """
 
 from __future__ import annotations
@@ -42,7 +43,19 @@ def directions(camera: Camera, dome: bool = False):
 
 
 def erfc(x: np.ndarray) -> np.ndarray:
-    return np.vectorize(math.erfc, otypes=[float])(x)
+    """Complementary error function: its Taylor terms in steps of ``H`` from exact values, good to some 1e-13 of the value at 0."""
+    h = 0.0625
+    at = np.round(np.clip(x, -6.5, 6.5) / h)
+    d = np.clip(x, -6.5, 6.5) - at * h
+    known = np.array([math.erfc(k * h) for k in range(-104, 105)])[(at + 104).astype(int)]
+    a = at * h
+    # derivatives of erfc are exp(-a^2) times Hermite polynomials, by their recursion
+    before, poly, term, series = np.zeros_like(a), np.ones_like(a), d.copy(), d.copy()
+    for n in range(1, 9):
+        before, poly = poly, 2 * a * poly - 2 * (n - 1) * before
+        term = term * -d / (n + 1)
+        series = series + term * poly
+    return known - 2 / math.sqrt(math.pi) * np.exp(-a * a) * series
 
 
 def render(df: DataFrame, camera: Camera, *, dome: bool = False, overlap: bool = True) -> DataFrame:
@@ -71,20 +84,7 @@ def render(df: DataFrame, camera: Camera, *, dome: bool = False, overlap: bool =
                 corners.append((bx, by, mid, float(np.arccos(np.clip(dirs[inside] @ mid, -1, 1)).max())))
     centres, reach = np.array([c[2] for c in corners]), np.array([c[3] for c in corners])
 
-    def blocks(batches):
-        for b in batches:
-            c = b[["c0", "c1", "c2"]].to_numpy()
-            angle = np.arccos(np.clip(c @ centres.T, -1, 1))
-            size = np.where(b["r"] >= 1, math.pi, np.arcsin(np.minimum(b["r"], 1.0)))
-            i, j = np.nonzero(angle <= size[:, None] + reach[None, :] + 1e-9)
-            out = b.iloc[i].copy()
-            out["block"] = j.astype("int32")
-            yield out
-
-    kinds = "c0 double, c1 double, c2 double, r double, red double, green double, blue double"
-
-    def draw(group: pd.DataFrame) -> pd.DataFrame:
-        bx, by, _, _ = corners[int(group["block"].iloc[0])]
+    def draw(bx: int, by: int, group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, y = np.meshgrid(np.arange(bx, min(w, bx + BLOCK)), np.arange(by, min(h, by + BLOCK)), indexing="ij")
         dirs, inside = at(x.astype(float), y.astype(float))
         dirs, x, y = dirs[inside], x[inside], y[inside]
@@ -100,7 +100,26 @@ def render(df: DataFrame, camera: Camera, *, dome: bool = False, overlap: bool =
             if overlap and not small.all():
                 weight[:, ~small] = 0.5 * erfc(-cos[:, ~small] / (r[~small] * H2SIGMA)) * part[:, ~small]
             total += weight @ g[["red", "green", "blue"]].to_numpy()
-        return pd.DataFrame({"x": x.astype("int32"), "y": y.astype("int32"), "red": total[:, 0], "green": total[:, 1], "blue": total[:, 2]})
+        return x, y, total
 
-    placed = d.mapInPandas(blocks, kinds + ", block int")
-    return placed.groupBy("block").applyInPandas(draw, "x int, y int, red double, green double, blue double")
+    def images(batches):
+        """The task's own image, and nothing else; at most as many rows as pixels."""
+        image = np.zeros((w, h, 3))
+        lit = np.zeros((w, h), bool)
+        for b in batches:
+            c = b[["c0", "c1", "c2"]].to_numpy()
+            for lo in range(0, len(b), 8192):
+                some = b.iloc[lo : lo + 8192]
+                angle = np.arccos(np.clip(c[lo : lo + 8192] @ centres.T, -1, 1))
+                size = np.where(some["r"] >= 1, math.pi, np.arcsin(np.minimum(some["r"], 1.0)))
+                j, i = np.nonzero((angle <= size[:, None] + reach[None, :] + 1e-9).T)
+                edges = np.searchsorted(j, np.arange(len(corners) + 1))
+                for k in np.flatnonzero(np.diff(edges)):
+                    x, y, total = draw(*corners[k][:2], some.iloc[i[edges[k] : edges[k + 1]]])
+                    image[x, y] += total
+                    lit[x, y] = True
+        x, y = np.nonzero(lit)
+        yield pd.DataFrame({"x": x.astype("int32"), "y": y.astype("int32"), "red": image[x, y, 0], "green": image[x, y, 1], "blue": image[x, y, 2]})
+
+    drawn = d.mapInPandas(images, "x int, y int, red double, green double, blue double")
+    return drawn.groupBy("x", "y").agg(*[F.sum(c).alias(c) for c in ("red", "green", "blue")])

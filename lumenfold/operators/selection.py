@@ -23,17 +23,67 @@ def ordered(df: DataFrame, kind: int, tie: str = "pid") -> DataFrame:
     return df.orderBy(F.desc(column) if down else F.asc(column), tie)
 
 
-def ranked(df: DataFrame, kind: int, tie: str = "pid") -> DataFrame:
-    """All particles with their place (``rank``, from 1) in one of the orders.
+def _dealt(df: DataFrame, order: list[Column]) -> DataFrame:
+    """A written table in ranges of ``order``: ``_part`` numbers a row's range, ``_at`` its place (from 0) within it.
+
+    No task sorts more than a range, and no key gathers a group's rows: ranges come from a sample of all of ``order``.
+    """
+    placed = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())  # range * 2^33 + place within it
+    return cut(placed.select("*", F.shiftright("_id", 33).cast("int").alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_at")).drop("_id"), "ordered")
+
+
+def numbered(df: DataFrame, order: list[Column], by: list[str] = (), name: str = "nth") -> DataFrame:
+    """``df`` with each row's place (from 1) among the rows of its group ``by``, null a group like others, in ``order``."""
+    placed = _dealt(df, [*map(F.asc, by), *order])
+    counts = placed.groupBy("_part", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
+    counts = cut(counts, "range-counts")  # a row for each range, and for each group
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_from")).alias("_shift"))
+    same = F.col("_part") == F.col("_p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{i}"))
+    return placed.join(small(starts, counts.count()), same).withColumn(name, F.col("_at") + F.col("_shift") + 1).select(*df.columns, name)
+
+
+def previous(df: DataFrame, value: str, order: list[str], by: list[str] = (), name: str = "before") -> DataFrame:
+    """``df`` with the ``value`` of the row before in its group ``by``, in ``order``; null for a group's first row.
 
-    A sort deals rows out by ranges; a row's place is that within its range, and the rows of all ranges before.
+    Within a range it is the row above; a range's first row looks at the last of the range before it.
     """
-    placed = ordered(df, kind, tie).withColumn("_at", F.monotonically_increasing_id())  # range * 2^33 + place within it
-    placed = cut(placed.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)}), "ordered")
-    counts = cut(placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")), "ranges")  # one row a range
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return placed.join(small(starts, counts.count()), "_part").withColumn("rank", F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+    placed = _dealt(df, [F.asc(c) for c in (*by, *order)])
+    last = placed.groupBy("_part").agg(F.max(F.struct("_at", *by, value)).alias("_e"))
+    last = cut(last, "range-ends")  # a row for each range
+    inside = Window.partitionBy("_part").orderBy("_at")
+    ends = last.select(F.lead("_part").over(Window.orderBy("_part")).alias("_p"), "_e")
+    both = placed.withColumn("_own", F.lag(F.struct(*by, F.col(value).alias("_v"))).over(inside)).join(small(ends, last.count()), (F.col("_part") == F.col("_p")) & (F.col("_at") == 0), "left")
+    over = F.when(F.col("_e").isNotNull(), F.struct(*[F.col(f"_e.{c}").alias(c) for c in by], F.col(f"_e.{value}").alias("_v")))
+    both = both.withColumn("_b", F.coalesce("_own", over))
+    same = F.col("_b").isNotNull()
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_b.{c}"))
+    return both.withColumn(name, F.when(same, F.col("_b._v"))).select(*df.columns, name)
+
+
+def ranked(df: DataFrame, kind: int, tie: str = "pid") -> DataFrame:
+    """All particles with their place (``rank``, from 1) in one of the orders; as they come for order 0."""
+    order = ORDERS[kind]
+    if order is None:
+        return df.withColumn("rank", F.lit(None).cast("long"))
+    column, down = order
+    return numbered(df, [F.desc(column) if down else F.asc(column), F.asc(tie)], name="rank")
+
+
+def medians(df: DataFrame, field: str, by: list[str]) -> DataFrame:
+    """``by`` and the ``median`` of a field, exactly: the mean of the middle two. Nulls don't count."""
+    known = df.select(*by, field).filter(F.col(field).isNotNull())
+    places = numbered(known, [F.asc(field)], by)
+    counts = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], "_n")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{i}"))
+    middle = places.join(counts, same).filter((2 * F.col("nth")).between(F.col("_n"), F.col("_n") + 2))
+    return middle.groupBy(*by).agg(F.avg(field).alias("median"))
 
 
 def nth_smallest(df: DataFrame, field: str, n: int):

@@ -1,8 +1,8 @@
 """Splatting: discs become pixels, pixels become colours.
 
 A disc is exploded to columns, then each column to its rows, so the factor of a column is computed once a column. Additive
-emission is a grouped sum with partial sums in the map tasks. Ordered absorption is a running sum within a pixel, front to
-back. With ``split_wide``, discs wider than ``TILE`` pixels are dealt to tiles first, so no task explodes one of them alone.
+emission is a grouped sum with partial sums in the map tasks. Ordered absorption is a running sum within a pixel of a layer
+of depth, front to back. With ``split_wide``, discs wider than ``TILE`` pixels are dealt to tiles first, so no task explodes one of them alone.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.scalar import H2SIGMA, RFAC
+from lumenfold.plans.tables import cut, parts
 
 TILE = 50
+COLOURS = ("red", "green", "blue")
 
 
 def tiles(df: DataFrame, side: int = TILE) -> DataFrame:
@@ -56,25 +58,36 @@ def additive(df: DataFrame, split_wide: bool = False) -> DataFrame:
     return rows.groupBy(F.col("px").alias("x"), F.col("py").alias("y")).agg(*[F.sum(F.col("att") * F.col(c)).alias(c) for c in ("red", "green", "blue")])
 
 
-def absorbing(df: DataFrame, gray: float = 0.2, nearest_first: list[Column] | None = None, layer: str | None = None) -> DataFrame:
+def absorbing(df: DataFrame, gray: float = 0.2, nearest_first: list[Column] | None = None, per_layer: int = 50_000) -> DataFrame:
     """Colours of every pixel, discs drawn one over the other, the farthest first.
 
-    Drawing a disc is ``p -> p T + q (1 - T)`` with ``T = exp(-e att)`` and ``q = e / (e + gray)``, so a disc counts by what
-    is drawn after it. Running sums go from near to far: a frame that only grows is summed once.
+    Discs are dealt out by depth, in layers of about ``per_layer``; a layer becomes an image in one task, without its pixels
+    ever travelling, and the images of all layers are put together. So a pixel that holds many discs is many tasks.
+    """
+    order = nearest_first or [F.desc("z"), F.desc("pid")]
+    layers = parts(df.sparkSession, df.count(), per_layer)
+    # a range's number is its place in the order
+    dealt = cut(df.repartitionByRange(layers, *order).withColumn("layer", F.spark_partition_id()), "layers")
+    return composited(layer_images(dealt, gray, order, layers)).select("x", "y", *COLOURS)
+
 
-    With the column ``layer`` every layer is an image of its own, with its optical depths ``t_red, t_green, t_blue``, as
-    :func:`composited` takes them.
+def layer_images(df: DataFrame, gray: float = 0.2, nearest_first: list[Column] | None = None, layers: int | None = None) -> DataFrame:
+    """An image of every ``layer``, with its optical depths ``t_red, t_green, t_blue``.
+
+    Drawing a disc is ``p -> p T + q (1 - T)`` with ``T = exp(-e att)`` and ``q = e / (e + gray)``, so a disc counts by what
+    is drawn after it. Running sums go from near to far: a frame that only grows is summed once. Discs of a layer are in one
+    partition before they are exploded, so sums over its pixels need no exchange.
     """
     order = nearest_first or [F.desc("z"), F.desc("pid")]
-    by = [layer] if layer else []
-    rows = covered(df, ["z", "pid", "red", "green", "blue", *by])
-    front = Window.partitionBy("px", "py", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    tau = {c: F.col(c) * F.col("att") for c in ("red", "green", "blue")}
-    rows = rows.select("px", "py", "z", "pid", *by, *[t.alias(f"t_{c}") for c, t in tau.items()], *[(F.col(c) / (F.col(c) + gray)).alias(f"q_{c}") for c in tau])
-    rows = rows.select("px", "py", *by, *[f"t_{c}" for c in tau], *[f"q_{c}" for c in tau], *[F.coalesce(F.sum(f"t_{c}").over(front), F.lit(0.0)).alias(f"f_{c}") for c in tau])
+    together = df.repartition(layers, "layer") if layers else df.repartition("layer")
+    rows = covered(together, ["z", "pid", "red", "green", "blue", "layer"])
+    front = Window.partitionBy("layer", "px", "py").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    tau = {c: F.col(c) * F.col("att") for c in COLOURS}
+    rows = rows.select("layer", "px", "py", "z", "pid", *[t.alias(f"t_{c}") for c, t in tau.items()], *[(F.col(c) / (F.col(c) + gray)).alias(f"q_{c}") for c in tau])
+    rows = rows.select("layer", "px", "py", *[f"t_{c}" for c in tau], *[f"q_{c}" for c in tau], *[F.coalesce(F.sum(f"t_{c}").over(front), F.lit(0.0)).alias(f"f_{c}") for c in tau])
     add = lambda c: F.sum(-F.col(f"q_{c}") * F.expm1(-F.col(f"t_{c}")) * F.exp(-F.col(f"f_{c}"))).alias(c)
-    depth = [F.sum(f"t_{c}").alias(f"t_{c}") for c in tau] if layer else []
-    return rows.groupBy(F.col("px").alias("x"), F.col("py").alias("y"), *by).agg(*map(add, tau), *depth)
+    images = rows.groupBy("layer", "px", "py").agg(*map(add, tau), *[F.sum(f"t_{c}").alias(f"t_{c}") for c in tau])
+    return images.withColumnsRenamed({"px": "x", "py": "y"})
 
 
 def composited(layers: DataFrame, layer: str = "layer") -> DataFrame:
@@ -84,9 +97,6 @@ def composited(layers: DataFrame, layer: str = "layer") -> DataFrame:
     return dim.groupBy("x", "y").agg(*[F.sum(F.col(c) * F.exp(-F.col(f"f_{c}"))).alias(c) for c in COLOURS], *[F.sum(f"t_{c}").alias(f"t_{c}") for c in COLOURS])
 
 
-COLOURS = ("red", "green", "blue")
-
-
 def tone_mapped(image: DataFrame) -> DataFrame:
     return image.withColumns({c: -F.expm1(-F.col(c)) for c in COLOURS})
 

@@ -88,7 +88,7 @@ RGB = ("red", "green", "blue")
 
 
 def normal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranges.normalised(particles(spark, sf_dir), ["i", "e"], log=["i"])
+    return ranges.normalised(particles(spark, sf_dir, dealt=True), ["i", "e"], log=["i"], of=particles(spark, sf_dir))
 
 
 def coloured(spark: SparkSession, sf_dir: str, c: Camera = FLAT) -> DataFrame:
@@ -358,7 +358,7 @@ def depth_composite(spark, d):
     """Three layers of depth, drawn apart and put together, are the image drawn at once."""
     z = F.col("z")
     layered = coloured(spark, d).withColumn("layer", F.when(z >= -50, 0).when(z >= -65, 1).otherwise(2))
-    return fixed(splat.composited(splat.absorbing(layered, layer="layer")).select("x", "y", *RGB))
+    return fixed(splat.composited(splat.layer_images(layered)).select("x", "y", *RGB))
 
 
 @query(f"{TONED} SELECT x, y, " + ", ".join(r6(c, c) for c in RGB) + " FROM tone")
@@ -498,10 +498,10 @@ def lod_weight(spark, d):
     return fixed(lod.weights(cells, diagonal=0.8, quality=0.9, fov=45.0, dist=30.0).select("pid", "active", "weight"))
 
 
-@query(CELLS + ", k AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY (pid * 2654435761) % 4294967296, pid) AS nth, count(*) OVER (PARTITION BY cell) AS n FROM (SELECT pid % 1000003 AS pid, cell FROM c)) SELECT pid, cell FROM k WHERE nth <= floor(0.3 * n)")
+@query(CELLS + ", k AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY (pid * 2654435761) % 4294967296, pid) AS nth, count(*) OVER (PARTITION BY cell) AS n FROM (SELECT pid % 1000003 AS pid, cell FROM c)) SELECT pid, cell, round(n / floor(0.3 * n), 6) AS boost FROM k WHERE nth <= floor(0.3 * n)")
 def lod_sample(spark, d):
     cells = lod.grid(particles(spark, d)).select((F.col("pid") % 1000003).alias("pid"), "cell")
-    return lod.stratified(cells, 0.3, [(F.col("pid") * 2654435761) % 4294967296, F.col("pid")])
+    return fixed(lod.stratified(cells, 0.3, [(F.col("pid") * 2654435761) % 4294967296, F.col("pid")]))
 
 
 @query(f"WITH {P} SELECT pid, greatest(0, ceil(log2(r / 0.55)) - 1)::INT AS level FROM p")
@@ -510,33 +510,18 @@ def lod_octaves(spark, d):
 
 
 # ---- orders and selection
-def _sorted(name: str, order: str, cols: Callable[[], list]) -> None:
-    def f(spark, d):
-        return particles(spark, d).orderBy(*cols()).limit(100).select("pid")
-
-    f.__name__ = f"sort_{name}"
-    query(f"WITH {P} SELECT pid FROM p ORDER BY {order} LIMIT 100")(f)
-
-
-_sorted("z", "z, pid", lambda: ["z", "pid"])
-_sorted("value", "e DESC, pid", lambda: [F.desc("e"), "pid"])
-_sorted("value_rev", "e, pid", lambda: ["e", "pid"])
-_sorted("size", "r DESC, pid", lambda: [F.desc("r"), "pid"])
-
-
-# the four above show the first 100; these have all particles with their places
-def _ranked(name: str, order: str, kind: int) -> None:
+def _sorted(name: str, order: str, kind: int) -> None:
     def f(spark, d):
         return selection.ranked(particles(spark, d), kind).select("pid", "rank")
 
-    f.__name__ = f"rank_{name}"
+    f.__name__ = f"sort_{name}"
     query(f"WITH {P} SELECT pid, row_number() OVER (ORDER BY {order}) AS rank FROM p")(f)
 
 
-_ranked("z", "z, pid", 1)
-_ranked("value", "e DESC, pid", 2)
-_ranked("value_rev", "e, pid", 3)
-_ranked("size", "r DESC, pid", 4)
+_sorted("z", "z, pid", 1)
+_sorted("value", "e DESC, pid", 2)
+_sorted("value_rev", "e, pid", 3)
+_sorted("size", "r DESC, pid", 4)
 
 
 @query(f"WITH {P} SELECT {r6('e', 'value')} FROM p ORDER BY e LIMIT 1 OFFSET 2345")
@@ -563,7 +548,7 @@ def share_of_items(spark, d):
 
 @query(f"WITH {P} SELECT type, {r6('quantile_cont(e, 0.5)', 'median')} FROM p GROUP BY type")
 def median_split(spark, d):
-    return fixed(particles(spark, d).groupBy("type").agg(F.median("e").alias("median")))
+    return fixed(selection.medians(particles(spark, d), "e", ["type"]))
 
 
 @query(f"WITH {P} SELECT pid, x < 25 AS low, (CASE WHEN x < 25 AND x + r > 25 THEN 2 WHEN x >= 25 AND x - r < 25 THEN 1 ELSE 0 END)::INT AS ghost FROM p")
@@ -586,23 +571,11 @@ def latest_params(spark, d):
     return stream.latest(commands(spark, d))
 
 
-@query("WITH f AS (SELECT event_id, round(value, 0) AS fidx, lag(round(value, 0)) OVER (ORDER BY event_id) AS before FROM events WHERE user_id = 7) SELECT event_id, fidx + 0.0 AS fidx, coalesce(abs(fidx - before) <= 1e-5 * abs(before), false) AS reuse FROM f")
-def frame_reuse_lag(spark, d):
-    from pyspark.sql import Window
-
-    f = table(spark, d, "events").filter("user_id = 7").select("event_id", F.round("value", 0).alias("fidx"))
-    before = F.lag("fidx").over(Window.orderBy("event_id"))
-    return f.withColumn("reuse", F.coalesce(scalar.approx(F.col("fidx"), before), F.lit(False)))
-
-
 @query("WITH f AS (SELECT event_id, user_id, round(value, 0) AS fidx, lag(round(value, 0)) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT event_id, user_id, fidx + 0.0 AS fidx, coalesce(abs(fidx - before) <= 1e-5 * abs(before), false) AS reuse FROM f")
-def frame_reuse_lists(spark, d):
-    """``frame_reuse_lag`` over all events; each user's are a list of scenes."""
-    from pyspark.sql import Window
-
+def frame_reuse_lag(spark, d):
+    """Each user's events are a list of scenes."""
     f = table(spark, d, "events").select("event_id", "user_id", F.round("value", 0).alias("fidx"))
-    before = F.lag("fidx").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return f.withColumn("reuse", F.coalesce(scalar.approx(F.col("fidx"), before), F.lit(False)))
+    return selection.previous(f, "fidx", ["event_id"], ["user_id"]).withColumn("reuse", F.coalesce(scalar.approx(F.col("fidx"), F.col("before")), F.lit(False))).drop("before")
 
 
 def _frames_sql(frames: dict[str, Camera]) -> str:
@@ -640,7 +613,7 @@ def dome_render(spark, d):
     return rays.render(palette.colourised(normal(spark, d), PALETTES), geometry.replace(DEEP, fov=150.0, yres=64), dome=True)
 
 
-@query()
+@query(_all["latest_params"][1])
 def stream_latest_state(spark, d):
     """The same as ``latest_params``, through a stream that takes what there is."""
     import uuid

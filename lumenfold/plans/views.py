@@ -12,10 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem``: quantity, discount and tax are places; the four keys make the id."""
+def particles(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """``lineitem``: quantity, discount and tax are places; the four keys make the id. ``dealt`` for long work on each row:
+    a table of fewer row groups than cores is then dealt out to all."""
     keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-    li = spread(table(spark, sf_dir, "lineitem").select(*keys, "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_returnflag"))
+    li = table(spark, sf_dir, "lineitem").select(*keys, "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_returnflag")
+    li = spread(li) if dealt else li
     pid = ((F.col("l_orderkey") * 262144 + F.col("l_partkey")) * 16384 + F.col("l_suppkey")) * 8 + F.col("l_linenumber")
     return li.select(
         pid.alias("pid"),
