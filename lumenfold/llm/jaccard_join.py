@@ -10,15 +10,17 @@ from sizes keep almost all of the product from being formed, and none of them lo
    ``size - ceil(t * size) + 1``. Columns of these prefixes say which rows may meet; in each, rows sorted by size are
    chained, broken where sizes differ too much to link. Chains make groups of rows: links lie within groups.
 3. *Blocks.* Rows of groups are laid out in blocks of up to ``ROWS`` rows, whole groups together; a larger group spans
-   blocks, and pairs of its blocks whose sizes can link meet. A pair of blocks is one task's product, in numpy; overlaps are
+   blocks. A pair of blocks is one task's product, in numpy; overlaps are
    summed over shared columns and compared exactly with what the two sizes ask. A spanning forest of the links leaves it.
+   Blocks first meet themselves and the next; of a large group only rows outside its largest component by then meet others.
 
 Components of the links come from star contractions. No pair of documents is a row of any table; a group of a third of all
-rows is spread over the pairs of its blocks.
+rows is spread over its blocks.
 
 Defined results: null text is empty; an empty set links with nothing, and its component is its own id; documents with equal
 sets link; fewer than n words are one n-gram; repeated rows link, rows of one id and other text are rows of their own; null
-ids have a null component unless they link; an empty table gives an empty table.
+ids have a null component unless they link; very long texts are read whole; other columns are not looked at, whatever their
+names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -79,9 +81,10 @@ def ngrams(text: str | None, n: int, words: dict) -> np.ndarray:
     return np.unique(_mix(out) >> np.uint64(11))
 
 
-def digest(h: np.ndarray) -> int:
-    """A set's signed 64-bit digest."""
-    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+def digest(h: np.ndarray) -> bytes:
+    """A set's name: 127 bits, so that none of very many unequal sets share one; its last byte isn't 0, which numpy would strip."""
+    d = xxhash.xxh3_128_digest(h.tobytes())
+    return d[:15] + bytes([d[15] | 1])
 
 
 def need(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -102,7 +105,7 @@ def _shared_columns(docs: DataFrame, blocks: int, n: int, percent: int) -> DataF
 
         def send() -> pd.DataFrame:
             name = uuid.uuid4().hex
-            nodes = np.array([digest(s) for s in sets], "<i8")
+            nodes = np.array([digest(s) for s in sets], "S16")
             sizes = np.array([len(s) for s in sets], "<u4")
             grams = np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
@@ -160,7 +163,7 @@ def _shared_columns(docs: DataFrame, blocks: int, n: int, percent: int) -> DataF
     def gather(group: pd.DataFrame) -> pd.DataFrame:
         named = group["ids"].notna()
         head, rest = group[named].iloc[0], group[~named]
-        nodes, sizes = np.frombuffer(head["a"], "<i8"), np.frombuffer(head["b"], "<u4").astype("int64")
+        nodes, sizes = np.frombuffer(head["a"], "S16"), np.frombuffer(head["b"], "<u4").astype("int64")
         rows = [(None, None, None, head["ids"], head["a"], head["b"])]
         if len(rest):
             grams = np.concatenate([np.frombuffer(x, "<u8") for x in rest["a"]])
@@ -172,14 +175,14 @@ def _shared_columns(docs: DataFrame, blocks: int, n: int, percent: int) -> DataF
             order = np.lexsort((grams, counts, owners))
             grams, owners = grams[order], owners[order]
             edges = np.searchsorted(owners, np.arange(len(nodes) + 1))
-            rows += [(int(nodes[i]), int(sizes[i]), grams[edges[i] : edges[i + 1]].tobytes(), None, None, None) for i in np.flatnonzero(may)]
+            rows += [(bytes(nodes[i]), int(sizes[i]), grams[edges[i] : edges[i + 1]].tobytes(), None, None, None) for i in np.flatnonzero(may)]
         # a plain column of whole numbers and nulls would become one of floats
-        whole = {c: pd.array([r[i] for r in rows], "Int64") for i, c in enumerate(("node", "size"))}
-        return pd.DataFrame(whole | {c: pd.Series([r[i + 2] for r in rows], dtype="object") for i, c in enumerate(("grams", "ids", "nodes", "sizes"))})
+        whole = {"size": pd.array([r[1] for r in rows], "Int64")}
+        return pd.DataFrame({c: whole.get(c, pd.Series([r[i] for r in rows], dtype="object")) for i, c in enumerate(("node", "size", "grams", "ids", "nodes", "sizes"))})
 
     rows = docs.mapInPandas(out, "block int, batch string, ids array<string>, a binary, b binary")
     counted = rows.groupBy("block").applyInPandas(count, "batch string, ids array<string>, a binary, b binary, c binary")
-    return counted.groupBy("batch").applyInPandas(gather, "node long, size long, grams binary, ids array<string>, nodes binary, sizes binary")
+    return counted.groupBy("batch").applyInPandas(gather, "node binary, size long, grams binary, ids array<string>, nodes binary, sizes binary")
 
 
 def _sets(named: DataFrame) -> DataFrame:
@@ -188,9 +191,9 @@ def _sets(named: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for ids, nodes, sizes in zip(b["ids"], b["nodes"], b["sizes"], strict=True):
-                yield pd.DataFrame({"doc_id": list(ids), "node": np.frombuffer(nodes, "<i8"), "size": np.frombuffer(sizes, "<u4").astype("int64")})
+                yield pd.DataFrame({"doc_id": list(ids), "node": np.frombuffer(nodes, "S16").tolist(), "size": np.frombuffer(sizes, "<u4").astype("int64")})
 
-    return named.filter("ids IS NOT NULL").select("ids", "nodes", "sizes").mapInPandas(run, "doc_id string, node long, size long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return named.filter("ids IS NOT NULL").select("ids", "nodes", "sizes").mapInPandas(run, "doc_id string, node binary, size long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _chains(rows: DataFrame, percent: int, blocks: int) -> DataFrame:
@@ -205,7 +208,7 @@ def _chains(rows: DataFrame, percent: int, blocks: int) -> DataFrame:
                     # n-grams of no other set come first of all in the order
                     first = own[: max(0, size + percent * size // -100 + 1 - (size - len(own)))]
                     grams.append(first)
-                    nodes.append(np.full(len(first), node, np.int64))
+                    nodes.append(np.full(len(first), node, "S16"))
                     sizes.append(np.full(len(first), size, np.uint32))
                 g, nd, sz = np.concatenate(grams), np.concatenate(nodes), np.concatenate(sizes)
                 to = (g % np.uint64(blocks)).astype(np.int64)
@@ -217,7 +220,7 @@ def _chains(rows: DataFrame, percent: int, blocks: int) -> DataFrame:
 
     def chain(group: pd.DataFrame) -> pd.DataFrame:
         g = np.concatenate([np.frombuffer(x, "<u8") for x in group["grams"]])
-        nd = np.concatenate([np.frombuffer(x, "<i8") for x in group["nodes"]])
+        nd = np.concatenate([np.frombuffer(x, "S16") for x in group["nodes"]])
         sz = np.concatenate([np.frombuffer(x, "<u4") for x in group["sizes"]]).astype(np.int64)
         order = np.lexsort((nd, sz, g))
         g, nd, sz = g[order], nd[order], sz[order]
@@ -225,10 +228,10 @@ def _chains(rows: DataFrame, percent: int, blocks: int) -> DataFrame:
         return pd.DataFrame(forest(nd[:-1][link], nd[1:][link]), columns=["u", "v"])
 
     spread = rows.select("node", "size", "grams").mapInPandas(prefixes, "block int, grams binary, nodes binary, sizes binary")
-    return spread.groupBy("block").applyInPandas(chain, "u long, v long").distinct()
+    return spread.groupBy("block").applyInPandas(chain, "u binary, v binary").distinct()
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+def forest(u: np.ndarray, v: np.ndarray) -> list[tuple[bytes, bytes]]:
     """A star of links for every component of the graph."""
     names, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = flat[: len(u)], flat[len(u) :]
@@ -248,10 +251,10 @@ def forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(names[low].tolist(), names[root[low]].tolist(), strict=True))
 
 
-def _block_links(a: pd.DataFrame, b: pd.DataFrame | None, percent: int) -> list[tuple[int, int]]:
+def _block_links(a: pd.DataFrame, b: pd.DataFrame | None, percent: int) -> list[tuple[bytes, bytes]]:
     """Links within ``a``, or between ``a`` and ``b``, of rows that may meet: one block of the matrix product."""
     rows = a if b is None else pd.concat([a, b])
-    sizes, nodes = rows["size"].to_numpy("int64"), rows["node"].to_numpy("int64")
+    sizes, nodes = rows["size"].to_numpy("int64"), np.array(rows["node"].tolist(), "S16")
     parts_ = [np.frombuffer(x, "<u8") for x in rows["grams"]]
     grams = np.concatenate(parts_)
     owner = np.repeat(np.arange(len(rows)), [len(p) for p in parts_])
@@ -278,42 +281,69 @@ def _block_links(a: pd.DataFrame, b: pd.DataFrame | None, percent: int) -> list[
 
 
 def _links(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """``u, v``: a spanning forest of all links, from rows laid out in blocks."""
-    spark = rows.sparkSession
+    """``u, v``: links that connect all that links connect, from rows laid out in blocks.
+
+    First every block meets itself and the next. Rows of a large group that are connected by then need not meet: of its
+    largest component no two rows do, only the other rows meet each other and it. So a group of near copies, whatever part
+    of all rows it is, costs about as many block pairs as it has blocks.
+    """
     members = groups.select("component").union(groups.select("component").distinct()).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     every = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
     laid = rows.join(every, "node").join(members, "component")
-    # small groups share a block, as a hash says; a large one has blocks of its own, in the order of size
+    # small groups share a block, as a hash says; a large one has blocks of its own
     total, grams = laid.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     shared = max(1, math.ceil(total / (ROWS // 2)), math.ceil(grams / BATCH_GRAMS))
     large = F.col("n") > ROWS // 2
-    laid = laid.withColumn("home", F.when(large, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(shared)))).withColumn("large", large)
+    home = F.when(large, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(shared)).cast("string").cast("binary"))
     # a large group's rows are dealt to blocks by bands of size, and by a hash within a band
     # bands are a little wider than the ratio, so that rounding parts no pair by two
     band = F.floor(F.log(F.col("size")) / (1e-6 + math.log(100 / percent))).cast("int")
-    laid = cut(laid.select("node", "size", "grams", "home", "large", F.when(F.col("large"), band).otherwise(0).alias("band")), "laid", rows=total + grams // 40)
-    bands = laid.groupBy("large", "home", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"))
-    bands = cut(bands.withColumn("pieces", F.when(F.col("large"), F.ceil(F.greatest(F.col("n") / ROWS, F.col("grams") / BATCH_GRAMS))).otherwise(1).cast("int")), "bands", rows=total)
-    keyed = laid.join(bands.select("large", "home", "band", "pieces"), ["large", "home", "band"]).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-    keyed = keyed.select("large", "home", "band", "piece", "node", "size", "grams")
-    key = ["large", "home", "band", "piece"]
-
-    # a block meets itself, the later pieces of its band, and all pieces of the next band, whose sizes can still link
-    pieces = bands.select("large", "home", "band", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "pieces")
-    other = bands.select("large", "home", F.col("band").alias("band2"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece2"))
-    same = pieces.withColumn("band2", F.col("band")).withColumn("piece2", F.explode(F.sequence(F.col("piece"), F.col("pieces") - 1)))
-    after = pieces.filter("large").withColumn("band2", F.col("band") + 1).join(other, ["large", "home", "band2"])
-    pairs = same.select(*key, "band2", "piece2").unionByName(after.select(*key, "band2", "piece2"))
-    pairs = pairs.withColumn("pair", F.concat_ws(":", "large", "home", "band", "piece", "band2", "piece2"))
-    ends = pairs.select(*key, "pair", F.lit(0).alias("side")).unionByName(
-        pairs.filter("band2 <> band OR piece2 <> piece").select("large", "home", F.col("band2").alias("band"), F.col("piece2").alias("piece"), "pair", F.lit(1).alias("side"))
-    )
+    laid = laid.select("node", "size", "grams", home.alias("home"), large.alias("large"), F.when(large, band).otherwise(0).alias("band"))
+    laid = cut(laid, "laid", rows=total + grams // 40)
+    near = cut(_met(laid, "large", percent, first=True), "near-links", rows=total)
+    wide = laid.filter("large")
+    known = components(near.join(wide.select(F.col("node").alias("u")), "u", "left_semi"))
+    parts_ = wide.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    most = parts_.groupBy("home", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("home").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
+    marked = parts_.join(most, "home").withColumn("rest", F.col("component") != F.col("main")).drop("component", "main")
+    # a group that is one component by now has no rest, and nothing left to meet
+    left = marked.join(marked.filter("rest").select("home").distinct(), "home", "left_semi")
+    left = cut(left.select("node", "size", "grams", "home", "large", "band", "rest"), "rest", rows=total + grams // 40)
+    return near.unionByName(_met(left, "rest", percent, first=False))
+
+
+def _met(laid: DataFrame, side: str, percent: int, first: bool) -> DataFrame:
+    """Links of blocks that meet. ``first``: each with itself and the next; else all in which a row of ``rest`` takes part."""
+    key = ["home", side, "band"]
+    bands = laid.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"))
+    fit = F.ceil(F.greatest(F.col("n") / ROWS, F.col("grams") / BATCH_GRAMS)).cast("int")
+    bands = cut(bands.withColumn("pieces", F.when(F.col(side), fit).otherwise(1) if first else fit), "bands", rows=1)
+    keyed = laid.join(bands.select(*key, "pieces"), key).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    keyed = keyed.select(*key, "piece", "node", "size", "grams")
+    pieces = bands.select(*key, F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "pieces")
+    b = pieces.select("home", F.col(side).alias("side2"), F.col("band").alias("band2"), F.col("piece").alias("piece2"))
+    a = pieces.withColumn("side2", F.col(side))
+    if first:
+        to = [F.struct(F.col("band").alias("band2"), F.col("piece").alias("piece2"))]
+        own = a.withColumn("to", F.array(*to)).unionByName(a.filter("piece + 1 < pieces").withColumn("to", F.array(F.struct(F.col("band").alias("band2"), (F.col("piece") + 1).alias("piece2")))))
+        own = own.select(*key, "piece", F.explode("to").alias("to"), "side2").select(*key, "piece", "side2", "to.band2", "to.piece2")
+        over = a.filter((F.col("piece") == 0) & F.col(side)).withColumn("band2", F.col("band") + 1).join(b.filter("piece2 = 0"), ["home", "side2", "band2"])
+        pairs = own.unionByName(over.select(*own.columns))
+    else:
+        odd = a.filter(side).drop("side2")
+        same = (F.col("side2") & (F.col("band2") == F.col("band")) & (F.col("piece2") >= F.col("piece"))) | (F.col("side2") & (F.col("band2") == F.col("band") + 1))
+        cross = ~F.col("side2") & F.abs(F.col("band2") - F.col("band")).between(0, 1)
+        pairs = odd.join(b, "home").filter(same | cross).select(*key, "piece", "side2", "band2", "piece2")
+    pairs = pairs.withColumn("name", F.concat_ws(":", F.hex("home"), side, "band", "piece", "side2", "band2", "piece2"))
+    alone = (F.col("side2") == F.col(side)) & (F.col("band2") == F.col("band")) & (F.col("piece2") == F.col("piece"))
+    ends = pairs.select(*key, "piece", "name", F.lit(0).alias("end")).unionByName(pairs.filter(~alone).select("home", F.col("side2").alias(side), F.col("band2").alias("band"), F.col("piece2").alias("piece"), "name", F.lit(1).alias("end")))
 
     def product(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group[group["side"] == 0], group[group["side"] == 1]
-        return pd.DataFrame(_block_links(a, b if len(b) else None, percent), columns=["u", "v"])
+        x, y = group[group["end"] == 0], group[group["end"] == 1]
+        return pd.DataFrame(_block_links(x, y if len(y) else None, percent) if len(x) else [], columns=["u", "v"])
 
-    return keyed.join(ends, key).select("pair", "side", "node", "size", "grams").groupBy("pair").applyInPandas(product, "u long, v long").distinct()
+    met = keyed.join(ends, [*key, "piece"]).select("name", "end", "node", "size", "grams")
+    return met.groupBy("name").applyInPandas(product, "u binary, v binary").distinct()
 
 
 def link(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -162,6 +162,17 @@ SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN method WHEN rule I
 """
 
 
+CHAT_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text) AS said,
+             coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '') AS learned,
+             sum(17 + length(role) + length(text) + length(regexp_replace(role, '[^\\<|]', '', 'g')) + length(regexp_replace(text, '[^\\<]', '', 'g')))::BIGINT AS formatted_chars
+      FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM g
+"""
+
+
 def _below() -> str:
     columns, below = url_reputation.chance_below("mean * weight", "(1 - mean) * weight", 0.2, total="list_sum(list_transform({array}, lambda i: {f}))", array="range(0, {last} + 1)")
     steps = [f"b{k + 1} AS (SELECT *, {expr} AS {name} FROM b{k})" for k, (name, expr) in enumerate(columns)]
@@ -169,4 +180,4 @@ def _below() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_top_k": TOP_K_SQL, "op8_url_filter": URL_SQL.replace("@BELOW@", _below()), "op10_ngram_jaccard_join": JACCARD_SQL}
+    return {"op3_chat_formatting": CHAT_SQL, "op6_exact_top_k": TOP_K_SQL, "op8_url_filter": URL_SQL.replace("@BELOW@", _below()), "op10_ngram_jaccard_join": JACCARD_SQL}

@@ -185,6 +185,11 @@ def test_chat(spark, data, table):
         assert row["loss_chars"] == len(learned) and row["loss_sha256"] == hashlib.sha256(learned.encode()).hexdigest()
 
 
+def test_chat_large(spark):
+    d = os.environ.get("TEST_DATA_LARGE", "/root/testdata/sf0.01")
+    same(queries.op3_chat_formatting(spark, d), queries.oracle_sql()["op3_chat_formatting"], d)
+
+
 def test_reply_tree_paths(spark):
     rng = np.random.default_rng(3)
     rows = [(t, n, int(rng.integers(0, n)) if n else None, float(rng.integers(0, 5))) for t in range(6) for n in range(25)]
@@ -588,6 +593,23 @@ def test_links_of_many_near_copies(spark, rows, monkeypatch):
     assert got == {i: (size[i], comp[i]) for i in range(len(texts))}
 
 
+def test_links_of_mosaics(spark, monkeypatch):
+    """Documents put together of the same passages share rare shingles without linking: one large group of many components."""
+    monkeypatch.setattr(jaccard_join, "ROWS", 16)
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(500)]
+    passages = [" ".join(rng.choice(words, 30)) for _ in range(14)]
+    texts = []
+    for _ in range(260):
+        some = rng.permutation(14)[: rng.integers(4, 9)]
+        texts.append(" ".join(passages[k] for k in sorted(some)))
+    texts += [texts[0] + " x", texts[0] + " y z", texts[1]] + [" ".join(passages) + f" tail{i}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    size, comp = brute_links(texts, 4, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link(df, n=4, percent=85).collect()}
+    assert len(set(comp)) > 50 and got == {i: (size[i], comp[i]) for i in range(len(texts))}
+
+
 def test_url_parts(spark):
     from pyspark.sql import functions as F
 
