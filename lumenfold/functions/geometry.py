@@ -46,6 +46,24 @@ def inverse(m: np.ndarray) -> np.ndarray:
     return np.linalg.inv(m)
 
 
+def perspective(fov: float, aspect: float, near: float, far: float) -> np.ndarray:
+    """4 by 4: what lies in the frustum comes into the cube of -1..1; ``fov`` in degrees is upright, the view along -z."""
+    f = 1 / math.tan(math.radians(fov) / 2)
+    return np.array([[f / aspect, 0, 0, 0], [0, f, 0, 0], [0, 0, (far + near) / (near - far), 2 * far * near / (near - far)], [0, 0, -1, 0]])
+
+
+def orthographic(left: float, right: float, bottom: float, top: float, near: float, far: float) -> np.ndarray:
+    """4 by 4: what lies in the box comes into the cube of -1..1, the view along -z."""
+    w, h, d = right - left, top - bottom, far - near
+    return np.array([[2 / w, 0, 0, -(right + left) / w], [0, 2 / h, 0, -(top + bottom) / h], [0, 0, -2 / d, -(far + near) / d], [0, 0, 0, 1]])
+
+
+def applied(m: np.ndarray, point) -> np.ndarray:
+    """A point through a 4 by 4 matrix, divided by its last coordinate."""
+    v = m @ np.array([*point, 1.0])
+    return v[:3] / v[3]
+
+
 @dataclass(frozen=True)
 class Camera:
     """Where a frame is seen from. The scene lies at negative z after the transform."""

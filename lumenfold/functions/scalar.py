@@ -63,3 +63,17 @@ def erfc(x: Column) -> Column:
     t = 1 / (1 + 0.3275911 * a)
     y = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-a * a)
     return F.when(x >= 0, y).otherwise(2 - y)
+
+
+def multiequal(*columns: Column) -> Column:
+    """Whether all of them are equal; nulls are equal to each other."""
+    out = F.lit(True)
+    for c in columns[1:]:
+        out = out & columns[0].eqNullSafe(c)
+    return out
+
+
+def safe_cast(v: Column, kind: str) -> Column:
+    """``v`` as another type; an error where that changes it."""
+    cast = v.try_cast(kind)
+    return F.when(v.isNull() | (cast == v), cast).otherwise(F.raise_error(F.concat(F.lit(f"no {kind}: "), v.cast("string"))).cast(kind))

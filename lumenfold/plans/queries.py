@@ -13,6 +13,8 @@ from lumenfold.functions import vectors as vec
 from lumenfold.functions.geometry import Camera
 from lumenfold.operators import camera as cam
 from lumenfold.operators import filters, interpolate, lod, palette, ranges, rays, selection, session, splat
+from lumenfold.plans import frames
+from lumenfold.plans.tables import cut
 from lumenfold.plans.views import commands, particles, snapshot, table, vectors
 from lumenfold.sources import records, snapshots
 from lumenfold.streaming import commands as stream
@@ -603,14 +605,53 @@ def derived_colours(spark, d):
     return fixed(table(spark, d, "embeddings").select(F.col("vec_id").alias("pid"), *[(e(0) - e(k)).alias(f"c{k + 4}") for k in (1, 2, 3)]))
 
 
-@query()
+PLANE, DOME = geometry.replace(DEEP, fov=60.0), geometry.replace(DEEP, fov=150.0, yres=64)
+
+
+def _rays_sql(c: Camera, dome: bool) -> str:
+    """Every pixel's direction with every particle whose disc holds it; no disc here holds the camera."""
+    forward = geometry.unit(np.subtract(c.lookat, c.position))
+    right = geometry.unit(np.cross(forward, c.sky))
+    up = np.cross(right, forward)
+    half, w, h = float(np.radians(c.fov) / 2), c.xres, c.height
+    if dome:
+        pixel = 2 * half / w
+        polar = f"SELECT x, y, (x - {w / 2}) / {w / 2} AS u, (y - {h / 2}) / {w / 2} AS v FROM g"
+        polar = f"SELECT *, sqrt(u * u + v * v) AS rho FROM ({polar})"
+        parts = [f"cos(rho * {half!r}) * {float(f)!r} + sin(rho * {half!r}) / greatest(rho, 1e-300) * (u * {float(a)!r} + v * {float(b)!r}) AS d{k}" for k, (f, a, b) in enumerate(zip(forward, right, up, strict=True))]
+        px = f"SELECT x, y, {', '.join(parts)} FROM ({polar}) WHERE rho <= 1"
+    else:
+        pixel = 2 * float(np.tan(half)) / w
+        t = float(np.tan(half)) / (w / 2)
+        parts = [f"{float(f)!r} + ((x - {w / 2}) * {float(a)!r} + (y - {h / 2}) * {float(b)!r}) * {t!r} AS d{k}" for k, (f, a, b) in enumerate(zip(forward, right, up, strict=True))]
+        px = f"SELECT x, y, d0 / n AS d0, d1 / n AS d1, d2 / n AS d2 FROM (SELECT *, sqrt(d0 * d0 + d1 * d1 + d2 * d2) AS n FROM (SELECT x, y, {', '.join(parts)} FROM g))"
+    away = " + ".join(f"({n} - {float(v)!r}) ** 2" for n, v in zip("xyz", c.position, strict=True))
+    least = c.minrad * pixel
+    return f"""WITH {P}, {NORM}, q0 AS (SELECT *, sqrt({away}) AS away, greatest(0, least(1, e)) * 2 AS pos FROM nn),
+q AS (SELECT {', '.join(f"({n} - {float(v)!r}) / away AS c{k}" for k, (n, v) in enumerate(zip("xyz", c.position, strict=True)))}, sqrt(r * r / (away * away) + {least * least!r}) AS w, r / away AS r, i, pos FROM q0),
+p2 AS (SELECT c0, c1, c2, w, greatest(0, pos - 1) * i * (r / w) ** 2 AS red, (1 - abs(pos - 1)) * i * (r / w) ** 2 AS green, greatest(0, 1 - pos) * i * (r / w) ** 2 AS blue FROM q),
+g AS (SELECT a.i::DOUBLE AS x, b.i::DOUBLE AS y FROM range({w}) a(i), range({h}) b(i)), px AS ({px}),
+hit AS (SELECT x, y, red, green, blue, w, c0 * d0 + c1 * d1 + c2 * d2 AS co FROM px JOIN p2 ON c0 * d0 + c1 * d1 + c2 * d2 >= 0 AND (c0 * d0 + c1 * d1 + c2 * d2) ** 2 >= (1 - w) * (1 + w))
+SELECT x::INT AS x, y::INT AS y, {", ".join(r6(f"sum({n} * exp(-(1 - co) * (1 + co) / (w * w * {scalar.H2SIGMA**2!r})))", n) for n in RGB)} FROM hit GROUP BY hit.x, hit.y"""
+
+
+def _lit(image: DataFrame) -> DataFrame:
+    """Pixels that a disc touched."""
+    return fixed(image.filter("red + green + blue > 0"))
+
+
+def _lit_sql(sql: str) -> str:
+    return sql + " HAVING sum((red + green + blue) * exp(-(1 - co) * (1 + co) / (w * w * " + repr(scalar.H2SIGMA**2) + "))) > 0"
+
+
+@query(_lit_sql(_rays_sql(PLANE, False)))
 def plane_render(spark, d):
-    return rays.render(palette.colourised(normal(spark, d), PALETTES), geometry.replace(DEEP, fov=60.0))
+    return _lit(rays.render(palette.colourised(normal(spark, d), PALETTES), PLANE))
 
 
-@query()
+@query(_lit_sql(_rays_sql(DOME, True)))
 def dome_render(spark, d):
-    return rays.render(palette.colourised(normal(spark, d), PALETTES), geometry.replace(DEEP, fov=150.0, yres=64), dome=True)
+    return _lit(rays.render(palette.colourised(normal(spark, d), PALETTES), DOME, dome=True))
 
 
 @query(_all["latest_params"][1])
@@ -628,6 +669,25 @@ def stream_latest_state(spark, d):
     return spark.read.schema("key string, value string").parquet(f"{base}/{name}")
 
 
+def _frame_sql(k: int, c: Camera) -> str:
+    toned = ", ".join(r6(f"1 - exp(-sum(att * {n}))", n) for n in RGB)
+    return f"SELECT {k} AS frame, * FROM (WITH {P}, {NORM}, {_seen_sql(c)} SELECT px::INT AS x, py::INT AS y, {toned} FROM hit GROUP BY px, py)"
+
+
+@query(" UNION ALL ".join(_frame_sql(k, c) for k, c in enumerate((FLAT, DEEP))))
+def scene_frames(spark, d):
+    """Two frames of one scene list, by the batch run's own way from parameters to pictures."""
+    base = frames.Params({"ptypes": "3", "simtype": "99", "outfile": "frame"} | {f"intensity_log{t}": "T" for t in range(3)})
+    shown, out = None, None
+    for k, c in enumerate((FLAT, DEEP)):
+        p = frames._with(frames.Params({**base, "xres": str(c.xres), "yres": str(c.height), "projection": str(c.perspective)}), c)
+        if shown is None:
+            shown = cut(frames.prepared(frames.read(spark, p, {99: lambda s, _: particles(s, d, dealt=True).withColumn("c1", F.col("e"))}), p), "particles")
+        own = frames.picture(shown, p, PALETTES).withColumn("frame", F.lit(k))
+        out = own if out is None else out.unionByName(own)
+    return fixed(out)
+
+
 def queries() -> dict[str, Query]:
     return {n: f for n, (f, _) in _all.items()}
 

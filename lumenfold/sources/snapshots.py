@@ -106,7 +106,7 @@ def gadget_header(path: str) -> dict:
     return {"npart": v[:6], "mass": v[6:12], "time": v[12], "redshift": v[13], "total": v[16:22], "files": v[23], "boxsize": v[24], "omega": v[25], "lambda": v[26], "hubble": v[27]}
 
 
-def gadget2(spark: SparkSession, path: str, species: list[int], *, size_label: str = "HSML", size_fix: float = 1.0, size_fac: float = 1.0, colour_label: str = "", colour_fac: float = 1.0, intensity_label: str = "", present: dict[str, int] | None = None, ids: bool = True) -> DataFrame:
+def gadget2(spark: SparkSession, path: str, species: list[int], *, size_label: str = "HSML", size_fix: float = 1.0, size_fac: float = 1.0, colour_label: str = "", colour_fac: float = 1.0, intensity_label: str = "", present: dict[str, int] | None = None, ids: bool = True, velocities: bool = False) -> DataFrame:
     """Labelled records; the place of a species in ``species`` becomes its type. ``present``: bits of the species in a block.
 
     Missing blocks: size ``size_fix``, colour (1, 1, 1), intensity 1. Ids of gas lose their high bits, stars get one.
@@ -144,6 +144,7 @@ def gadget2(spark: SparkSession, path: str, species: list[int], *, size_label: s
                     inten = column(intensity_label.ljust(4), 1, first, size) if intensity_label else None
                     wide = "i8" if "ID  " in blocks and blocks["ID  "][1] == 8 * total else "u4"
                     key = column("ID  ", 1, first, size, wide) if ids else None
+                    vel = column("VEL ", 3, first, size) if velocities else None
                     ones = np.ones(size)
                     colours = [ones * 1.0] * 3 if col is None else [col[:, min(k, width - 1)] * colour_fac if k < width else ones * 0 for k in range(3)]
                     yield pd.DataFrame(
@@ -155,9 +156,10 @@ def gadget2(spark: SparkSession, path: str, species: list[int], *, size_label: s
                             "i": ones if inten is None else inten[:, 0].astype("f8"),
                             "c1": colours[0].astype("f8"), "c2": colours[1].astype("f8"), "c3": colours[2].astype("f8"),
                         }
+                        | ({f"v{c}": vel[:, k].astype("f8") for k, c in enumerate("xyz")} if velocities else {})
                     )
 
-        frame = _ranges(spark, n).filter("first < end").mapInPandas(read, SCHEMA)
+        frame = _ranges(spark, n).filter("first < end").mapInPandas(read, SCHEMA + ", vx double, vy double, vz double" * velocities)
         wide = "ID  " in blocks and blocks["ID  "][1] == 8 * total
         frames.append(frame.withColumn("pid", patched_id(F.col("pid"), sp, wide)) if ids and "ID  " in blocks else frame)
     out = frames[0]
