@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 10_000
 #: Rows of a file of a table whose number of rows is known before it is written.
 FILE_ROWS = 250_000
+#: Bytes of a file of a table whose size is known before it is written.
+FILE_SIZE = 1 << 27
 
 _own: dict[str, str] = {}
 _written: dict[int, tuple[weakref.ref, str]] = {}
@@ -35,15 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own["dir"]
 
 
-def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str, rows: int | None = None, size: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; a lost executor costs at most the tasks after it.
 
-    Where it is known to have about ``rows`` rows, it goes to as few files as hold ``FILE_ROWS`` each.
+    Where it is known to have about ``rows`` rows, or ``size`` bytes, it goes to as few files as hold ``FILE_ROWS`` or
+    ``FILE_SIZE`` each; one of bytes to no fewer than there are cores.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(max(1, math.ceil(rows / FILE_ROWS)))
+    if size is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, math.ceil(size / FILE_SIZE)))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[id(out)] = (weakref.ref(out), path)
