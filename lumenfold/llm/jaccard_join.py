@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.components import components
-from lumenfold.plans.tables import cut, parts
+from lumenfold.plans.tables import FILE_ROWS, cut, parts
 
 #: Rows of a batch whose n-grams are sent together, and of a block of the product.
 BATCH, ROWS = 1024, 512
@@ -352,17 +352,18 @@ def link(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id: str = "doc_i
     # ids travel as text: in pandas whole numbers beside nulls would become floats
     rows = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # a word has some five characters; fewer than 32 blocks don't fit the width of what is sent
-    blocks = max(32, parts(spark, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 5, COLUMNS))
-    both = cut(_shared_columns(rows, blocks, n, percent), "shared")
+    number, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(32, parts(spark, size // 5, COLUMNS))
+    both = cut(_shared_columns(rows, blocks, n, percent), "shared", size=size)
     sets = _sets(both)
     classes = sets.filter("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     # equal sets have equal columns and counts: one row stays
-    rows = cut(both.filter("node IS NOT NULL").select("node", "size", "grams").groupBy("node").agg(F.first("size").alias("size"), F.first("grams").alias("grams")), "rows")
+    rows = cut(both.filter("node IS NOT NULL").select("node", "size", "grams").groupBy("node").agg(F.first("size").alias("size"), F.first("grams").alias("grams")), "rows", size=size)
     groups = components(_chains(rows, percent, blocks))
     linked = components(_links(rows, groups, percent))
-    named = cut(classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
+    named = cut(classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes", rows=number)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = named.join(least, "component").select("node", "component_id", F.col("least").alias("class_id"))
     out = sets.select("doc_id", "size", "node").filter("size > 0").join(ids, "node").select("doc_id", F.col("size").alias("n_shingles"), "component_id", "class_id")
     empty = sets.filter("size = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
-    return out.unionByName(empty)
+    return out.unionByName(empty).coalesce(max(1, -(-number // FILE_ROWS)))
