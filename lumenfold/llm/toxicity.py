@@ -29,6 +29,8 @@ on its own; without a document of each kind all scores are 0; other columns are
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -59,18 +61,30 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _WEIGHT = DECAY ** np.arange(SPAN + 1, dtype=float)
 
 
-def symbols(unit: str) -> list[int]:
-    """Codes of a unit's start and its characters; 0 matches nothing."""
-    out = [START]
-    for c in unit.translate(LEET):
-        if "a" <= c <= "z":
-            out.append(ord(c) - 96)
-        elif c < "\x80":
-            out.append(0)
-        elif c.isalpha():
-            out.append(27 + ord(c) % 37)
-        else:
-            out.append(0)
+def _symbol(c: str) -> int:
+    """Code of a character; 0 matches nothing."""
+    c = c.translate(LEET)
+    if "a" <= c <= "z":
+        return ord(c) - 96
+    return 27 + ord(c) % 37 if c >= "\x80" and c.isalpha() else 0
+
+
+@functools.cache
+def _table() -> np.ndarray:
+    """The codes of the first 65536 characters."""
+    return np.array([_symbol(chr(c)) for c in range(1 << 16)], np.int32)
+
+
+def coded(strings: list[str]) -> np.ndarray:
+    """A row of codes for each string: its start, its characters, and zeros."""
+    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+    flat = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = _table()[np.minimum(flat, 65535)]
+    for at in np.flatnonzero(flat > 65535):
+        codes[at] = _symbol(chr(flat[at]))
+    out = np.zeros((len(strings), int(lengths.max(initial=0)) + 1), np.int32)
+    out[:, 0] = START
+    out[np.repeat(np.arange(len(strings)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1] = codes
     return out
 
 
@@ -96,10 +110,8 @@ class Features:
     __slots__ = ("code", "row", "rows", "value")
 
     def __init__(self, strings: list[str]) -> None:
-        length = max(map(len, strings)) + 1
-        codes = np.zeros((len(strings), length), np.int32)
-        for i, s in enumerate(strings):
-            codes[i, : len(s) + 1] = symbols(s)
+        codes = coded(strings)
+        length = codes.shape[1]
         steps = [(i, j, k) for i in range(length) for j in range(i + 1, min(length, i + SPAN - 1)) for k in range(j + 1, min(length, i + SPAN))]
         self.rows = len(strings)
         if not steps:
@@ -184,29 +196,35 @@ def machine(strings: list[str], labels: np.ndarray, weight: np.ndarray, landmark
     return np.bincount(f.code, f.value * (root @ w)[f.row], SYMBOLS**3), bias
 
 
+#: Units whose windows are looked at together.
+UNITS = 16_384
+
+
 def evidence(units_: list[str], toxic: np.ndarray, every: np.ndarray, share: float) -> np.ndarray:
     """For each triple, how far its sum over toxic sentences exceeds their share of all, in standard deviations of chance.
 
     ``toxic`` and ``every`` are the numbers of toxic and of all sentences that hold a unit.
     """
-    parts = [(i, w) for i, u in enumerate(units_) for w in windows(u)]
-    at = np.array([p[0] for p in parts])
     seen, spread = np.zeros(SYMBOLS**3), np.zeros(SYMBOLS**3)
-    for rows, f in batches_of([p[1] for p in parts]):
-        unit = at[rows][f.row]
-        seen += np.bincount(f.code, f.value * (toxic - share * every)[unit], len(seen))
-        spread += np.bincount(f.code, f.value**2 * every[unit], len(seen))
+    for lo in range(0, len(units_), UNITS):
+        parts = [(i, w) for i, u in enumerate(units_[lo : lo + UNITS], lo) for w in windows(u)]
+        at = np.array([p[0] for p in parts])
+        for rows, f in batches_of([p[1] for p in parts]):
+            unit = at[rows][f.row]
+            seen += np.bincount(f.code, f.value * (toxic - share * every)[unit], len(seen))
+            spread += np.bincount(f.code, f.value**2 * every[unit], len(seen))
     return seen / np.sqrt(share * (1 - share) * spread + 1.0)
 
 
-def best_windows(units_: list[str], table: np.ndarray, bias: float = 0.0) -> tuple[np.ndarray, list[str]]:
-    """Each unit's highest decision value over its windows, and that window."""
-    parts = [(i, w) for i, u in enumerate(units_) for w in windows(u)]
-    value = unit_scores([p[1] for p in parts], table) + bias
-    best, which = np.full(len(units_), -np.inf), [""] * len(units_)
-    for (i, w), v in zip(parts, value.tolist(), strict=True):
-        if v > best[i]:
-            best[i], which[i] = v, w
+def best_windows(units_: list[str], table: np.ndarray, bias: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Each unit's highest decision value over its windows, and which window has it."""
+    best, which = np.full(len(units_), -np.inf), np.zeros(len(units_), np.int32)
+    for lo in range(0, len(units_), UNITS):
+        parts = [(i, n, w) for i, u in enumerate(units_[lo : lo + UNITS], lo) for n, w in enumerate(windows(u))]
+        value = unit_scores([p[2] for p in parts], table) + bias
+        for (i, n, _), v in zip(parts, value.tolist(), strict=True):
+            if v > best[i]:
+                best[i], which[i] = v, n
     return best, which
 
 
@@ -238,23 +256,28 @@ def train(texts: list[str], toxic: list[int], *, seed: int = 7) -> dict:
     none = {"table": None, "bias": 0.0, "curve": None}
     if not (y == 1).any() or not (y == 0).any():
         return none
-    labels: dict[str, int] = {}
-    for t, label in zip(texts, y.tolist(), strict=True):
-        for s in _SENTENCE.split(t):
-            labels[s] = max(labels.get(s, 0), label)
-    bags = [(units(s), label) for s, label in labels.items()]
-    bags = [(us, label) for us, label in bags if us]
-    share = sum(label for _, label in bags) / max(1, len(bags))
+    place: dict[str, int] = {}
+    bags: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])  # of clean and of toxic sentences, as places of their units
+    seen: set[bytes] = set()
+    for label in (1, 0):  # toxic ones first: a sentence of both kinds is toxic
+        for i in np.flatnonzero(y == label):
+            for s in _SENTENCE.split(texts[i]):
+                key = hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                us = units(s) if key not in seen else ()
+                if us:
+                    seen.add(key)
+                    bags[label].append(np.fromiter((place.setdefault(u, len(place)) for u in us), np.int32, len(us)))
+    del seen
+    share = len(bags[1]) / max(1, len(bags[0]) + len(bags[1]))
     if not 0 < share < 1:
         return none
-    count: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    for us, label in bags:
-        count[label].update(us)
-    names = sorted(count[0].keys() | count[1].keys())
-    place = {u: i for i, u in enumerate(names)}
-    in_toxic, in_clean = (np.array([count[label][u] for u in names], float) for label in (1, 0))
-    toxic_bags = [np.fromiter((place[u] for u in us), int, len(us)) for us, label in bags if label]
-    del labels, bags, count, place
+    # places in the order of names, whatever the order of texts and of sets
+    names = sorted(place)
+    moved = np.empty(len(names), np.int32)
+    moved[[place[u] for u in names]] = np.arange(len(names), dtype=np.int32)
+    in_clean, in_toxic = (np.bincount(moved[np.concatenate(own)], minlength=len(names)).astype(float) for own in bags)
+    toxic_bags = [np.sort(moved[own]) for own in bags[1]]
+    del bags, place
     z = evidence(names, in_toxic, in_toxic + in_clean, share)
     best, window = best_windows(names, np.where(z > CHANCE, z, 0.0))
 
@@ -288,14 +311,15 @@ def train(texts: list[str], toxic: list[int], *, seed: int = 7) -> dict:
         weight = np.concatenate([pos / pos.sum(), neg / neg.sum()])
         some = list(dict.fromkeys(chosen[: LANDMARKS // 4] + [chosen[i] for i in rng.permutation(len(chosen))[: LANDMARKS // 4]]))
         some += [clean[i] for i in rng.permutation(len(clean))[: LANDMARKS - len(some)]]
-        strings = [window[u] for u in chosen + clean]
-        table, bias = machine(strings, np.array([1.0] * len(chosen) + [-1.0] * len(clean)), weight, list(dict.fromkeys(window[u] for u in some)))
+        strings = [windows(names[u])[window[u]] for u in chosen + clean]
+        table, bias = machine(strings, np.array([1.0] * len(chosen) + [-1.0] * len(clean)), weight, list(dict.fromkeys(windows(names[u])[window[u]] for u in some)))
         model = {"table": table, "bias": bias}
         best, window = best_windows(names, table, bias)
         floor = above(LATER)
     if model is None:
         return none
-    cache: dict[str, float] = {}
+    del toxic_bags
+    cache = dict(zip(names, best.tolist(), strict=True))  # sentences have all units but runs of letters over a sentence's end
     x = np.concatenate([doc_features([units(t) for t in texts[i : i + 256]], model["table"], model["bias"], cache) for i in range(0, len(texts), 256)])
     told = x[:, -1] > 0  # a text without units tells nothing about the score of others
     model["curve"] = _logistic(x[told], y[told]) if (y[told] == 1).any() and (y[told] == 0).any() else _logistic(x, y)
