@@ -65,9 +65,10 @@ def absorbing(df: DataFrame, gray: float = 0.2, nearest_first: list[Column] | No
     ever travelling, and the images of all layers are put together. So a pixel that holds many discs is many tasks.
     """
     order = nearest_first or [F.desc("z"), F.desc("pid")]
-    layers = parts(df.sparkSession, df.count(), per_layer)
+    discs = cut(df, "discs")
+    layers = parts(df.sparkSession, discs.count(), per_layer)
     # a range's number is its place in the order
-    dealt = cut(df.repartitionByRange(layers, *order).withColumn("layer", F.spark_partition_id()), "layers")
+    dealt = discs.repartitionByRange(layers, *order).withColumn("layer", F.spark_partition_id())
     return composited(layer_images(dealt, gray, order, layers)).select("x", "y", *COLOURS)
 
 
