@@ -29,10 +29,13 @@ on its own; without a document of each kind all scores are 0; other columns are
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import hashlib
+import os
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,7 +139,7 @@ class Features:
         return np.bincount(self.row, table[self.code] * self.value, self.rows)
 
 
-def batches_of(strings: list[str], size: int = 2048) -> Iterator[tuple[np.ndarray, Features]]:
+def batches_of(strings: list[str], size: int = 512) -> Iterator[tuple[np.ndarray, Features]]:
     """All strings, in batches of about one length each, and their places."""
     order = np.argsort([len(s) for s in strings], kind="stable")
     for lo in range(0, len(order), size):
@@ -161,23 +164,34 @@ def kernel(left: list[str], landmarks: list[str]) -> np.ndarray:
     place = np.full(SYMBOLS**3, len(used), np.int32)
     place[used] = np.arange(len(used))
     out = np.zeros((len(left), len(landmarks)))
-    for at, f in batches_of(left, 128):
+    for at, f in batches_of(left, 32):
         if len(f.row):
             held, starts = np.unique(f.row, return_index=True)
-            out[at[held]] = np.add.reduceat(dense[place[f.code]] * f.value[:, None].astype(np.float32), starts, axis=0)
+            part = dense[place[f.code]]
+            part *= f.value[:, None].astype(np.float32)
+            out[at[held]] = np.add.reduceat(part, starts, axis=0)
     return out
 
 
+#: Rows of features that are made, or enter a Newton step, together.
+BLOCK = 1024
+
+
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 300.0) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear machine by Newton steps on its active rows."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x1.shape[1])
+    """Squared-hinge linear machine by Newton steps on its active rows; ``x`` is never copied whole."""
+    w = np.zeros(x.shape[1] + 1)
     reg = np.eye(len(w))
     reg[-1, -1] = 1e-3
     for _ in range(40):
-        active = y * (x1 @ w) < 1
-        a = x1[active] * (weight[active] * c)[:, None]
-        new = np.linalg.solve(reg + a.T @ x1[active], a.T @ y[active])
+        left, right = reg.copy(), np.zeros(len(w))
+        for lo in range(0, len(x), BLOCK):
+            at = slice(lo, lo + BLOCK)
+            active = y[at] * (x[at] @ w[:-1] + w[-1]) < 1
+            rows = np.hstack([x[at][active], np.ones((int(active.sum()), 1))])
+            a = rows * (weight[at][active] * c)[:, None]
+            left += a.T @ rows
+            right += a.T @ y[at][active]
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             w = new
             break
@@ -191,7 +205,10 @@ def machine(strings: list[str], labels: np.ndarray, weight: np.ndarray, landmark
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     keep = values > 1e-4 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    w, bias = _svm(kernel(strings, landmarks) @ root, labels, weight)
+    x = np.empty((len(strings), root.shape[1]))
+    for lo in range(0, len(strings), BLOCK):
+        x[lo : lo + BLOCK] = kernel(strings[lo : lo + BLOCK], landmarks) @ root
+    w, bias = _svm(x, labels, weight)
     f = Features(landmarks)
     return np.bincount(f.code, f.value * (root @ w)[f.row], SYMBOLS**3), bias
 
@@ -257,27 +274,42 @@ def train(texts: list[str], toxic: list[int], *, seed: int = 7) -> dict:
     if not (y == 1).any() or not (y == 0).any():
         return none
     place: dict[str, int] = {}
-    bags: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])  # of clean and of toxic sentences, as places of their units
-    seen: set[bytes] = set()
+    held = (array("q"), array("q"))  # for each unit, the numbers of clean and of toxic sentences that hold it
+    bags, starts = array("i"), array("q")  # toxic sentences as places of their units, one after the other
+    sentences, seen = [0, 0], set()
     for label in (1, 0):  # toxic ones first: a sentence of both kinds is toxic
         for i in np.flatnonzero(y == label):
             for s in _SENTENCE.split(texts[i]):
                 key = hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 us = units(s) if key not in seen else ()
-                if us:
-                    seen.add(key)
-                    bags[label].append(np.fromiter((place.setdefault(u, len(place)) for u in us), np.int32, len(us)))
+                if not us:
+                    continue
+                seen.add(key)
+                sentences[label] += 1
+                if label:
+                    starts.append(len(bags))
+                for u in us:
+                    at = place.setdefault(u, len(place))
+                    if at == len(held[0]):
+                        held[0].append(0)
+                        held[1].append(0)
+                    held[label][at] += 1
+                    if label:
+                        bags.append(at)
     del seen
-    share = len(bags[1]) / max(1, len(bags[0]) + len(bags[1]))
+    share = sentences[1] / max(1, sum(sentences))
     if not 0 < share < 1:
         return none
     # places in the order of names, whatever the order of texts and of sets
     names = sorted(place)
+    order = np.fromiter(map(place.__getitem__, names), np.int64, len(names))
     moved = np.empty(len(names), np.int32)
-    moved[[place[u] for u in names]] = np.arange(len(names), dtype=np.int32)
-    in_clean, in_toxic = (np.bincount(moved[np.concatenate(own)], minlength=len(names)).astype(float) for own in bags)
-    toxic_bags = [np.sort(moved[own]) for own in bags[1]]
-    del bags, place
+    moved[order] = np.arange(len(names), dtype=np.int32)
+    in_clean, in_toxic = (np.array(own, float)[order] for own in held)
+    toxic_units, first = moved[np.array(bags, np.int32)], np.array(starts, np.int64)
+    of = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(toxic_units)))
+    toxic_units = toxic_units[np.lexsort((toxic_units, of))]
+    del bags, starts, place, held, moved, order
     z = evidence(names, in_toxic, in_toxic + in_clean, share)
     best, window = best_windows(names, np.where(z > CHANCE, z, 0.0))
 
@@ -293,13 +325,14 @@ def train(texts: list[str], toxic: list[int], *, seed: int = 7) -> dict:
     pool = set(common.tolist()) | set(rng.permutation(negatives)[: CLEAN_UNITS // 3].tolist())
     model = None
     for _ in range(TURNS):
-        witness: Counter[int] = Counter()
-        for us in toxic_bags:
-            top = us[best[us].argmax()]
-            if best[top] > floor:
-                witness[int(top)] += 1
+        highest = np.maximum.reduceat(best[toxic_units], first)
+        top = np.flatnonzero(best[toxic_units] == highest[of])
+        top = toxic_units[top[np.unique(of[top], return_index=True)[1]]]
+        found, since, times = np.unique(top[highest > floor], return_index=True, return_counts=True)
+        by_times = np.lexsort((since, -times))
+        witness = dict(zip(found[by_times].tolist(), times[by_times].tolist(), strict=True))
         # a unit that is common in clean sentences, too, tells nothing
-        chosen = [u for u, _ in witness.most_common() if in_toxic[u] * (1 - share) >= LIFT * share * in_clean[u]][:WITNESSES]
+        chosen = [u for u in witness if in_toxic[u] * (1 - share) >= LIFT * share * in_clean[u]][:WITNESSES]
         if not chosen:
             break
         hard = negatives[np.argsort(-best[negatives], kind="stable")][: CLEAN_UNITS // 3]
@@ -318,7 +351,7 @@ def train(texts: list[str], toxic: list[int], *, seed: int = 7) -> dict:
         floor = above(LATER)
     if model is None:
         return none
-    del toxic_bags
+    del toxic_units, of
     cache = dict(zip(names, best.tolist(), strict=True))  # sentences have all units but runs of letters over a sentence's end
     x = np.concatenate([doc_features([units(t) for t in texts[i : i + 256]], model["table"], model["bias"], cache) for i in range(0, len(texts), 256)])
     told = x[:, -1] > 0  # a text without units tells nothing about the score of others
@@ -354,6 +387,13 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
+def _trim() -> None:
+    """Give what training has freed back to the system, where the C library can: a driver keeps it else for all its later work."""
+    gc.collect()
+    if os.name == "posix" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        trim(0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
     """Train on a bounded sample of the labelled documents that aren't held out."""
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).filter("_y IS NOT NULL AND _id IS NOT NULL").filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -366,7 +406,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     before = Window.partitionBy("_y").orderBy("_order", "_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.coalesce(F.sum(F.char_length("_text").cast("long")).over(before), F.lit(0))).filter(F.col("_before") < SAMPLE_CHARS // 2)
     rows = rows.select("_y", "_text", "_order", "_id").orderBy("_y", "_order", "_id").toPandas()
-    return train(rows["_text"].tolist(), rows["_y"].astype(int).tolist())
+    texts, toxic = rows["_text"].tolist(), rows["_y"].astype(int).tolist()
+    del rows
+    model = train(texts, toxic)
+    del texts
+    _trim()
+    return model
 
 
 def score(docs: DataFrame, model: dict, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:

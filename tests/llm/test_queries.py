@@ -5,6 +5,7 @@ import math
 import os
 import re
 import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -158,6 +159,25 @@ def test_toxicity_whole_units_and_sentences():
     assert toxicity.train(["a b"], [1])["table"] is None and toxicity.train([], [])["table"] is None
 
 
+def test_toxicity_training_memory():
+    # on the driver: temporary arrays of a batch or block, and no second copy of all features
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh"), 20)) for _ in range(4096)]
+    labels = np.where(np.arange(len(words)) % 2, 1.0, -1.0)
+
+    def peak(f) -> float:
+        tracemalloc.start()
+        f()
+        out = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        return out
+
+    toxicity._table()
+    features = len(words) * toxicity.LANDMARKS * 8 / 1e6
+    assert peak(lambda: toxicity.machine(words, labels, np.full(len(words), 1 / len(words)), words[: toxicity.LANDMARKS])) < features + 32
+    assert peak(lambda: toxicity.evidence(words, np.ones(len(words)), np.full(len(words), 2.0), 0.5)) < 32
+
+
 def test_toxicity_held_out():
     """Recall and precision on the fifth of the labels that nothing was learnt from, over the larger tables."""
     d = os.environ.get("TEST_DATA_LARGE", "/root/testdata/sf0.1")
